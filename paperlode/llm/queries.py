@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlode.llm import split, tokenize
+from paperlode.llm import lookalike, split, tokenize
 from paperlode.session import read
 
 
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.lookalike_records(read(spark, sf_dir, "questions"), read(spark, sf_dir, "chunks"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.lookalike_pairs(p2_forms(spark, sf_dir))
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.one_delivery(split.split_oversized(read(spark, sf_dir, "filings"), read(spark, sf_dir, "chunks"), read(spark, sf_dir, "chunk_limits")))
 
@@ -23,6 +31,8 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_forms": p2_forms,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p6_ids": p6_ids,
