@@ -19,6 +19,7 @@ def get_spark(app: str = "paperlode", cores: int | None = None) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(max(8, cores)))
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
