@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlode.llm import lookalike, split, tokenize
+from paperlode.llm import leaks, lookalike, split, tokenize
 from paperlode.session import read
 
 
@@ -30,12 +30,22 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.tokenize(read(spark, sf_dir, "documents"))
 
 
+def p7_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(p7_overlaps(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_overlaps": p7_overlaps,
 }
 
 SQL: dict[str, str] = {
