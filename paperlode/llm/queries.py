@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlode.llm import leaks, lookalike, split, tokenize
+from paperlode.llm import leaks, lookalike, sentences, split, tokenize
 from paperlode.session import read
 
 
@@ -38,6 +38,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(p7_overlaps(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_overlaps": p7_overlaps,
+    "p8_found": p8_found,
 }
 
 SQL: dict[str, str] = {
