@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperlode.session import cut_lineage
+
 #: Letters of other scripts that print as a Latin letter does, and hyphens that print as "-".
 LOOKALIKES = dict(
     zip(
@@ -29,7 +31,9 @@ LOOKALIKES = dict(
 #: fraction forms look different and stay.
 SAME_LOOK = {"", "<wide>", "<narrow>", "<noBreak>", "<compat>", "<square>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>", "<small>"}
 #: Punctuation that differs in width only and is frequent in running text of either width.
-WIDE_MARKS, NARROW_MARKS = "，！？：；（）", ",!?:;()"
+WIDE_MARKS, NARROW_MARKS = "，！？：；（）％", ",!?:;()%"
+#: Fixed value: frequent characters that no rule touches; all others are looked up one by one.
+PLAIN = r"\n\x20-\x7E一-鿿、。“”《》—·‰…ÖÜäöüéñ"
 EMOJI = r"[\x{2600}-\x{27BF}\x{1F000}-\x{1FAFF}]"
 
 
@@ -42,12 +46,12 @@ def _decomposed(ch: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def code_points() -> tuple[list[tuple[str, list[tuple[str, int]]]], list[tuple[str, str]], str]:
-    """(code point, its parts with their combining class); (cluster, its composed form); class of touched code points.
+def code_points() -> tuple[list[tuple[str, list[tuple[str, int]]]], list[tuple[str, str]]]:
+    """(code point, its parts with their combining class); (cluster, its composed form).
 
-    All three are bounded by the Unicode repertoire.
+    Both are bounded by the Unicode repertoire.
     """
-    table, composed, touched = [], [], []
+    table, composed = [], []
     for n in range(128, sys.maxunicode + 1):
         if 0xD800 <= n <= 0xDFFF or 0x30000 <= n < 0xE0000 or n >= 0xF0000 or 0x3400 <= n <= 0x9FFF or 0xAC00 <= n <= 0xD7A3 or 0x20000 <= n <= 0x2F7FF:
             continue  # ideographs, Hangul syllables and private planes stand for themselves
@@ -65,23 +69,17 @@ def code_points() -> tuple[list[tuple[str, list[tuple[str, int]]]], list[tuple[s
             parts = _decomposed(ch)
         again = unicodedata.normalize("NFC", parts)
         mark = unicodedata.combining(ch) > 0
-        if again != ch:
-            touched.append(n)
-        elif len(parts) > 1:
+        if ch == "…":
+            continue  # three stops are folded into it
+        if again == ch and len(parts) > 1:
             composed.append((parts, ch))
         if again != ch or mark or len(parts) > 1:
             table.append((ch, [(p, unicodedata.combining(p)) for p in parts]))
-    ranges: list[list[int]] = []
-    for n in touched:
-        if ranges and ranges[-1][1] == n - 1:
-            ranges[-1][1] = n
-        else:
-            ranges.append([n, n])
-    return table, composed, "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + r"\t\r"
+    return table, composed
 
 
 def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    table, composed, _ = code_points()
+    table, composed = code_points()
     table = [*table, ("\t", [(" ", 0)]), ("\r", [])]
     parts = spark.createDataFrame(table, "piece string, parts array<struct<c: string, ccc: int>>")
     return parts, spark.createDataFrame(composed, "cluster string, whole string")
@@ -99,26 +97,25 @@ def one_form(df: DataFrame, keys: list[str], text: str = "text", out: str = "for
     """
     spark = df.sparkSession
     parts, composed = tables(spark)
-    touched = code_points()[2]
     named = [f"_k{i}" for i in range(len(keys))]
-    src = df.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.translate(F.regexp_replace(text, "\r\n", "\n"), WIDE_MARKS, NARROW_MARKS).alias("_t"))
-    needs = F.col("_t").rlike(rf"[{touched}\p{{M}}\x{{1100}}-\x{{11FF}}]")
+    folded = F.translate(F.replace(F.regexp_replace(text, "\r\n", "\n"), F.lit("..."), F.lit("…")), WIDE_MARKS, NARROW_MARKS)
+    src = df.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], folded.alias("_t"))
+    needs = F.col("_t").rlike(f"[^{PLAIN}]")
     done = src.filter(F.coalesce(~needs, F.lit(True))).select(*named, F.col("_t").alias(out))
 
     keep = rf"{EMOJI}\x{{FE0F}}?\x{{200D}}(?={EMOJI})|[\x{{94D}}\x{{9CD}}\x{{DCA}}\x{{E3A}}][\x{{200C}}\x{{200D}}]"
-    cut = F.regexp_extract_all("_t", F.lit(rf"(?s){keep}|[^{touched}\p{{M}}]+(?![\p{{M}}\x{{200D}}])|."), F.lit(0))
+    cut = F.regexp_extract_all("_t", F.lit(rf"(?s)[{PLAIN}]+(?![\p{{M}}\x{{200D}}])|{keep}|."), F.lit(0))
     rows = src.filter(needs).select(*named, F.posexplode(cut).alias("_pos", "piece"))
     rows = rows.join(F.broadcast(parts), "piece", "left")
     rows = rows.select(*named, "_pos", F.posexplode_outer(F.coalesce("parts", F.array(F.struct(F.col("piece").alias("c"), F.lit(0).alias("ccc"))))).alias("_sub", "_part"))
-    rows = rows.select(*named, "_pos", F.coalesce("_sub", F.lit(0)).alias("_sub"), F.coalesce("_part.c", F.lit("")).alias("_c"), F.coalesce("_part.ccc", F.lit(-1)).alias("_ccc"))
-    rows = rows.distinct()  # repeated rows
-    in_order = Window.partitionBy(*named).orderBy("_pos", "_sub")
-    rows = rows.withColumn("_cluster", F.sum(F.when(F.col("_ccc") == 0, 1).otherwise(0)).over(in_order))
-    marks = F.array_sort(F.collect_list(F.struct("_ccc", "_pos", "_sub", "_c")))
+    rows = rows.select(*named, (F.col("_pos") * 64 + F.coalesce("_sub", F.lit(0))).alias("_at"), F.coalesce("_part.c", F.lit("")).alias("_c"), F.coalesce("_part.ccc", F.lit(-1)).alias("_ccc"))
+    # a mark belongs to the last character before it that is none
+    rows = rows.withColumn("_cluster", F.max(F.when(F.col("_ccc") == 0, F.col("_at"))).over(Window.partitionBy(*named).orderBy("_at")))
+    marks = F.array_sort(F.collect_set(F.struct("_ccc", "_at", "_c")))  # a set, as rows may be repeated
     clusters = rows.groupBy(*named, "_cluster").agg(F.array_join(F.transform(marks, lambda m: m["_c"]), "").alias("cluster"))
     clusters = clusters.join(F.broadcast(composed), "cluster", "left")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_cluster", F.coalesce("whole", "cluster").alias("c")))), lambda x: x["c"]), "")
-    exploded = clusters.groupBy(*named).agg(whole.alias(out))
+    exploded = clusters.groupBy(*named).agg(F.replace(whole, F.lit("..."), F.lit("…")).alias(out))
     return done.unionByName(exploded).select(*[F.col(n).alias(k) for k, n in zip(keys, named)], out)
 
 
@@ -129,7 +126,7 @@ def lookalike_records(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     q = questions.select(F.lit("question").alias("record_kind"), F.col("qid").alias("id"), F.col("question").alias("text"))
     c = chunks.select(F.lit("chunk").alias("record_kind"), F.col("chunk_id").alias("id"), "text")
-    both = q.unionByName(c).filter("id IS NOT NULL AND text IS NOT NULL").withColumn("text_hash", F.md5(F.col("text").cast("binary")))
+    both = q.unionByName(c).filter("id IS NOT NULL AND text IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
     forms = one_form(both, ["record_kind", "id", "text_hash"])
     return forms.select("record_kind", "id", "text_hash", F.md5(F.col("form").cast("binary")).alias("form_hash")).distinct()
 
@@ -140,6 +137,7 @@ def lookalike_pairs(records: DataFrame) -> DataFrame:
     Texts are paired, not records, so exact copies cost nothing until the pairs of texts are known; records of
     texts without a look-alike are left out before any join.
     """
+    records = cut_lineage(records)  # hashes only; read four times below
     texts = records.groupBy("record_kind", "form_hash", "text_hash").agg(F.lit(1).alias("_n"))
     several = texts.groupBy("record_kind", "form_hash").agg(F.count("*").alias("_texts")).filter("_texts > 1").select("record_kind", "form_hash")
     near = records.join(several, ["record_kind", "form_hash"], "left_semi")
