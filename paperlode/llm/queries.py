@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlode.llm import leaks, lookalike, sentences, split, tokenize
+from paperlode.llm import leaks, lookalike, replies, sentences, split, tokenize
 from paperlode.session import read
 
 
@@ -26,6 +26,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.oversized(split.split_oversized(read(spark, sf_dir, "filings"), read(spark, sf_dir, "chunks"), read(spark, sf_dir, "chunk_limits")))
 
 
+def p5_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies.templates(replies.cut_lineage(replies.replies(read(spark, sf_dir, "answers"), read(spark, sf_dir, "questions"))))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies.defects(read(spark, sf_dir, "answers"), read(spark, sf_dir, "questions"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.tokenize(read(spark, sf_dir, "documents"))
 
@@ -47,6 +55,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_forms": p2_forms,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p5_found": p5_found,
+    "p5_templates": p5_templates,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_overlaps": p7_overlaps,
