@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlode.llm import leaks, lookalike, replies, sentences, split, tokenize
+from paperlode.llm import leaks, lookalike, replies, scans, sentences, split, tokenize
 from paperlode.session import read
 
 
@@ -26,6 +26,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.oversized(split.split_oversized(read(spark, sf_dir, "filings"), read(spark, sf_dir, "chunks"), read(spark, sf_dir, "chunk_limits")))
 
 
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair(read(spark, sf_dir, "filings")).select("doc_id", "text").distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.line_defects(scans.repair(read(spark, sf_dir, "filings"), with_text=False))
+
+
 def p5_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.templates(replies.cut_lineage(replies.replies(read(spark, sf_dir, "answers"), read(spark, sf_dir, "questions"))))
 
@@ -55,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_forms": p2_forms,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_text": p4_text,
     "p5_found": p5_found,
     "p5_templates": p5_templates,
     "p6_ids": p6_ids,
