@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from paperlode.plans import quantities
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**quantities.QUERIES}
 SQL: dict[str, str] = {}
