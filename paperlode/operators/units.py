@@ -18,7 +18,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import FeatureHasher, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -295,22 +295,30 @@ def stated_units(values: DataFrame, passages: DataFrame, sources: DataFrame) ->
     return both.dropDuplicates(["value_id"])
 
 
+COMMON_UNITS = (*PLAIN_UNITS, "cny", "usd")
+FEATURES = ["size", "near", "neighbours", "negative", "broken", "metric_scale", "source_money", "source_ratio", *(f"as_{u}" for u in COMMON_UNITS)]
+
+
 def features(rows: DataFrame) -> DataFrame:
-    """Magnitude, decimals, sign and the distance to what neighbouring rows of the metric and of the issuer's metric say."""
-    size = F.log10(F.greatest(F.abs("number"), F.lit(1e-9)))
-    rows = rows.withColumn("size", size)
-    common_size = F.log10(F.greatest(F.abs(F.col("number") * F.col("factor")), F.lit(1e-9)))
-    told = rows.filter("stated_by IS NOT NULL AND metric IS NOT NULL").withColumn("_s", common_size)
-    own = told.groupBy("issuer", "metric").agg(F.avg("_s").alias("own_size"), F.count("*").alias("own_n"))
-    rows = rows.join(own, ["issuer", "metric"], "left")
+    """Add what the classifier looks at: magnitude, decimals and sign; how the rows of the metric that state their unit
+    are spread over the common units; the scales that the source uses; the distance to the neighbouring rows of the
+    issuer's metric. Only sums by metric, source and issuer are shuffled."""
+    log = lambda c: F.log10(F.greatest(F.abs(c), F.lit(1e-9)))
+    told = rows.filter("stated_by IS NOT NULL").withColumn("_s", log(F.col("number") * F.col("factor"))).withColumn("_f", log(F.col("factor")))
+    own = told.filter("metric IS NOT NULL AND issuer IS NOT NULL").groupBy("issuer", "metric").agg(F.avg("_s").alias("own_size"), F.count("*").cast("double").alias("own_n"))
+    shares = [F.avg((F.col("common") == u).cast("double")).alias(f"as_{u}") for u in COMMON_UNITS]
+    metric = told.filter("metric IS NOT NULL").groupBy("metric").agg(F.avg("_f").alias("metric_scale"), *shares)
+    mean_of = lambda u: F.avg(F.when(F.col("common") == u, F.col("_f")))
+    source = told.filter("source IS NOT NULL").groupBy("source").agg(mean_of("cny").alias("source_money"), mean_of("bp").alias("source_ratio"))
+    rows = rows.join(own, ["issuer", "metric"], "left").join(metric, "metric", "left").join(source, "source", "left")
     return rows.select(
-        "*",
-        F.coalesce(F.col("own_size") - F.col("size"), F.lit(-99.0)).alias("near"),
-        F.coalesce("own_n", F.lit(0)).cast("double").alias("neighbours"),
-        (F.col("number") < 0).cast("double").alias("negative"),
+        *[c for c in rows.columns if c not in FEATURES and c not in ("own_size", "own_n")],
+        log(F.col("number")).alias("size"),
+        F.coalesce(F.col("own_size") - log(F.col("number")), F.lit(-99.0)).alias("near"),
+        F.coalesce("own_n", F.lit(0.0)).alias("neighbours"),
+        F.coalesce((F.col("number") < 0).cast("double"), F.lit(0.0)).alias("negative"),
         F.when(F.col("number") == F.floor("number"), 0.0).otherwise(1.0).alias("broken"),
-        F.coalesce("metric", F.lit("?")).alias("metric_name"),
-        F.coalesce("source", F.lit("?")).alias("source_name"),
+        *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in FEATURES[5:]],
     )
 
 
@@ -336,13 +344,12 @@ def predict(rows: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: int
     empty = F.lit(None)
     rest = feats.filter("stated_by IS NOT NULL OR number IS NULL")
     add = lambda df, p, q, c, d: df.select(*rows.columns, p.cast("string").alias("predicted"), q.cast("double").alias("probability"), c.cast("string").alias("category"), d.cast("double").alias("category_p"))
-    if train.select("label").distinct().limit(2).count() < 2:
+    if len(train.select("label").distinct().take(2)) < 2:
         return add(feats, empty, empty, empty, empty)
     stages = [
         StringIndexer(inputCol="label", outputCol="target", handleInvalid="skip", stringOrderType="alphabetAsc"),
-        FeatureHasher(inputCols=["metric_name", "source_name"], outputCol="names", numFeatures=96),
-        VectorAssembler(inputCols=["size", "near", "neighbours", "negative", "broken", "names"], outputCol="features"),
-        RandomForestClassifier(labelCol="target", featuresCol="features", numTrees=24, maxDepth=12, maxBins=32, featureSubsetStrategy="0.4", seed=11, cacheNodeIds=False),
+        VectorAssembler(inputCols=FEATURES, outputCol="features"),
+        RandomForestClassifier(labelCol="target", featuresCol="features", numTrees=20, maxDepth=10, maxBins=32, featureSubsetStrategy="0.5", seed=11, maxMemoryInMB=64),
     ]
     fitted = Pipeline(stages=stages).fit(train)
     labels = fitted.stages[0].labels
@@ -360,27 +367,23 @@ def predict(rows: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: int
         return df.withColumn("_top", top).withColumn("_name", name).withColumn("_cat", best)
 
     held = cut_lineage(scored(bounded(known.filter(fold == 0), calibration_rows, 2)).select("label", "_top", "_name", "_cat", "common"))
-    right = held.select(F.col("_top").alias("score"), (F.col("_name") == F.col("label")).cast("double").alias("right"))
-    right_cat = held.select(F.col("_cat.p").alias("score"), (F.col("_cat.u") == F.col("common")).cast("double").alias("right"))
-    curves = [curve(IsotonicRegression(featuresCol="score", labelCol="right").fit(x)) if not x.isEmpty() else None for x in (right, right_cat)]
+    # scores are rounded to hundredths, so a fit is a table of 101 values
+    fit = lambda score, right: table(held.select(F.round(score, 2).alias("score"), right.cast("double").alias("right")))
+    unit_curve = fit(F.col("_top"), F.col("_name") == F.col("label"))
+    category_curve = fit(F.col("_cat.p"), F.col("_cat.u") == F.col("common"))
     asked = scored(ask)
-    asked = add(asked, F.col("_name"), calibrated(F.col("_top"), curves[0]), F.col("_cat.u"), calibrated(F.col("_cat.p"), curves[1]))
+    asked = add(asked, F.col("_name"), calibrated(F.col("_top"), unit_curve), F.col("_cat.u"), calibrated(F.col("_cat.p"), category_curve))
     return asked.unionByName(add(rest, empty, empty, empty, empty))
 
 
-def curve(model) -> list[tuple[float, float]]:
-    """The steps of an isotonic fit, a few dozen pairs."""
-    return list(zip(map(float, model.boundaries), map(float, model.predictions)))
+def table(scores: DataFrame) -> list[float]:
+    """Share of right assignments at each hundredth of the score, by isotonic regression; the score itself if nothing was held out."""
+    model = IsotonicRegression(featuresCol="score", labelCol="right").fit(scores) if scores.take(1) else None
+    return [model.predict(i / 100) if model else i / 100 for i in range(101)]
 
 
-def calibrated(score: Column, steps: list[tuple[float, float]] | None) -> Column:
-    """Linear between the steps of the fit, constant outside."""
-    if not steps:
-        return score
-    out = F.lit(steps[-1][1])
-    for (a, p), (b, q) in reversed(list(zip(steps, steps[1:]))):
-        out = F.when(score <= b, F.lit(p) if b == a else p + (q - p) * (score - a) / (b - a)).otherwise(out)
-    return F.when(score <= steps[0][0], F.lit(steps[0][1])).otherwise(out)
+def calibrated(score: Column, steps: list[float]) -> Column:
+    return F.get(F.array(*[F.lit(float(p)) for p in steps]), F.round(score * 100).cast("int"))
 
 
 def common_units(values: DataFrame, passages: DataFrame, sources: DataFrame, confident: float = CONFIDENT) -> DataFrame:
