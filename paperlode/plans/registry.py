@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlode.plans import quantities
+from paperlode.plans import quantities, retrieval, sql
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**quantities.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**quantities.QUERIES, **retrieval.QUERIES}
+SQL: dict[str, str] = sql.SQL
