@@ -5,4 +5,129 @@ from __future__ import annotations
 from paperlode import config
 from paperlode.functions.text import BLANKS
 
-SQL: dict[str, str] = {}
+QUERY_STEP = 50
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g')"
+
+
+def _distinct(x: str) -> str:
+    return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+
+
+def _plain_tokens(x: str) -> str:
+    grams = (
+        "CASE WHEN length(r) <= 2 THEN [r] ELSE list_concat(list_concat(list_transform(range(1, length(r)), lambda i: substr(r, i, 2)), "
+        "list_transform(range(1, length(r) - 1), lambda i: substr(r, i, 3))), CASE WHEN length(r) <= 8 THEN [r] ELSE [] END) END"
+    )
+    norm = f"replace(lower({x}), '　', ' ')"
+    return f"list_concat(regexp_extract_all({norm}, '{config.LATIN_NUMBER}'), flatten(list_transform(regexp_extract_all({norm}, '{config.CJK_RUN}'), lambda r: {grams})))"
+
+
+DOCS = "docs AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM filings WHERE doc_id IS NOT NULL)"
+CHUNKS = "corpus AS (SELECT DISTINCT ON (chunk_id) * FROM chunks WHERE chunk_id IS NOT NULL)"
+QUESTIONS = "asks AS (SELECT DISTINCT ON (qid) * FROM questions WHERE qid IS NOT NULL)"
+ANSWERS = "replies AS (SELECT DISTINCT ON (answer_id) * FROM answers WHERE answer_id IS NOT NULL)"
+BAGS = f"bags AS (SELECT chunk_id, doc_id, domain, {_plain_tokens("concat_ws(' ', title, array_to_string(keywords, ' '), text)")} AS tokens FROM corpus)"
+OPTIONS = "coalesce(array_to_string(list_sort(list_transform(map_entries(options), lambda e: upper(e.key) || '. ' || coalesce(e.value, ''))), chr(10)), '')"
+QUERY_TEXT = f"concat_ws(chr(10), coalesce(question, ''), {OPTIONS}, coalesce(type, ''), coalesce(array_to_string(doc_ids, ' '), ''))"
+KEYS = "coalesce(list_sort(list_transform(map_keys(options), lambda k: upper(k))), [])"
+
+
+def _letters(answer: str, judged: str) -> str:
+    keys = KEYS
+    allowed = f"CASE WHEN len({keys}) = 0 THEN ['A', 'B', 'C', 'D'] ELSE {keys} END"
+    letters = f"list_filter(regexp_extract_all(upper(coalesce({answer}, '')), '[ABCD]'), lambda c: list_contains({allowed}, c))"
+    form = "coalesce(answer_format, 'multi')"
+    true = f"list_filter({keys}, lambda k: coalesce({judged}[k], false))"
+    return f"""CASE WHEN len({letters}) > 0 AND {form} IN ('mcq', 'tf') THEN {letters}[1]
+        WHEN len({letters}) > 0 THEN array_to_string(list_sort(list_distinct({letters})), '')
+        WHEN {form} = 'multi' AND len({true}) > 0 THEN array_to_string({true}, '')
+        WHEN {form} IN ('mcq', 'tf') AND len({true}) > 0 THEN {true}[1]
+        WHEN {form} = 'tf' AND list_contains({keys}, 'A') THEN 'A'
+        ELSE coalesce({keys}[1], 'A') END"""
+
+
+SCORED = f"""{QUESTIONS},
+    last AS (SELECT * FROM answers WHERE qid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY answered_at DESC NULLS LAST, answer_id DESC, ingested_at DESC NULLS LAST) = 1),
+    scored AS (SELECT asks.qid, asks.domain, asks.answer_format, asks.type, asks.answer AS gold, last.qid IS NULL AS was_missing,
+        {_letters("last.answer", "last.option_judgements")} AS pred
+        FROM asks LEFT JOIN last ON asks.qid = last.qid WHERE asks.answer IS NOT NULL)"""
+_QTEXT = "concat_ws(chr(10), coalesce(question, ''), coalesce(array_to_string(map_values(options), chr(10)), ''), coalesce(type, ''))"
+_FTEXT = "concat_ws(chr(10), coalesce(question, ''), coalesce(array_to_string(map_values(options), ' '), ''))"
+KINDS = f"""kinds AS (SELECT *, CASE WHEN calc THEN 'calculation' WHEN comp THEN 'comparison' WHEN coalesce(answer_format, '') = 'tf' OR judge THEN 'judgement' ELSE 'fact_lookup' END AS kind
+    FROM (SELECT *, regexp_matches(qtext, '{config.COMPARES}') AS comp, regexp_matches(qtext, '{config.JUDGES}') AS judge,
+        regexp_matches(qtext, '{config.CALCULATES}') OR (n >= 2 AND coalesce(domain, '') = 'financial_reports') AS calc
+        FROM (SELECT *, {_QTEXT} AS qtext, {_FTEXT} AS ftext, coalesce(len(list_filter(map_values(options), lambda v: regexp_matches(v, '{config.NUMERIC_OPTION}'))), 0) AS n FROM asks)))"""
+RUNS = f"""{QUESTIONS}, {KINDS},
+    last AS (SELECT * FROM answers WHERE qid IS NOT NULL AND run_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id, qid ORDER BY answered_at DESC NULLS LAST, answer_id DESC, ingested_at DESC NULLS LAST) = 1),
+    runs AS (SELECT last.answer_id, last.run_id, last.qid, last.error, coalesce(len(last.used_doc_ids), 0) AS evidence, kinds.domain, kinds.kind, kinds.answer AS gold,
+        coalesce(last.token_usage.total_tokens, 0) AS tokens,
+        {_letters("last.answer", "last.option_judgements")} AS pred FROM last JOIN kinds ON last.qid = kinds.qid)"""
+
+
+SQL: dict[str, str] = {
+    "clean_text": f"""SELECT DISTINCT doc_id, md5({_strip(r"regexp_replace(regexp_replace(replace(text, '　', ' '), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")}) AS text_md5,
+        substr(md5(doc_id || '::0::0'), 1, 12) AS stable_id FROM filings WHERE doc_id IS NOT NULL AND text IS NOT NULL""",
+    "doc_meta": r"""SELECT DISTINCT doc_id, regexp_extract(path, '([^/]*?)(?:\.[^./]*)?$', 1) AS stem, regexp_extract(path, '([^/]+)/[^/]*$', 1) AS folder,
+        trim(regexp_replace(regexp_extract(path, '([^/]*?)(?:\.[^./]*)?$', 1), '[_\-]+', ' ', 'g')) AS file_title, lower(regexp_extract(path, '(\.[^./]*)$', 1)) AS suffix
+        FROM filings WHERE doc_id IS NOT NULL AND path IS NOT NULL""",
+    "page_text": """SELECT DISTINCT doc_id, len(p)::BIGINT AS pages_with_text, md5(coalesce(array_to_string(list_transform(p, lambda x: '[PAGE ' || x.page || ']' || chr(10) || x.text), chr(10) || chr(10)), '')) AS marked_md5
+        FROM (SELECT doc_id, list_filter(pages, lambda x: trim(x.text) <> '') AS p FROM filings WHERE doc_id IS NOT NULL AND pages IS NOT NULL)""",
+    "paragraph_blocks": rf"""WITH {DOCS},
+        raws AS (SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS idx FROM (SELECT doc_id, string_split_regex(text, '\n\s*\n') AS parts FROM docs)),
+        marked AS (SELECT *, {_strip("raw")} AS body FROM raws),
+        paged AS (SELECT *, regexp_extract(body, '^\[PAGE\s+(\d+)\]', 1) AS mark, {_strip(r"regexp_replace(body, '^\[PAGE\s+\d+\]', '')")} AS text FROM marked),
+        placed AS (SELECT *, coalesce(last_value(CASE WHEN mark <> '' THEN mark::INT END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS page,
+            coalesce(sum(length(raw) + 2) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start FROM paged)
+        SELECT doc_id, idx::BIGINT AS idx, page::BIGINT AS page, char_start, (char_start + length(raw))::BIGINT AS char_end,
+            CASE WHEN regexp_matches(text, '{config.TABLE_LINE}') THEN 'table' ELSE 'text' END AS kind, md5(text) AS text_md5 FROM placed WHERE text <> ''""",
+    "keywords": f"""WITH {CHUNKS}, found AS (SELECT chunk_id, list_filter(list_transform(regexp_extract_all(text, '{config.KEYWORD}'), lambda t: {_strip("t")}), lambda t: t <> '') AS k FROM corpus WHERE text IS NOT NULL)
+        SELECT chunk_id, coalesce(array_to_string({_distinct("k")}[1:60], '|'), '') AS keywords FROM found""",
+    "term_stats": f"""WITH {CHUNKS}, {BAGS}, posts AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM bags) GROUP BY ALL)
+        SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM posts GROUP BY term""",
+    "corpus_stats": f"""WITH {CHUNKS}, {BAGS} SELECT coalesce(domain, '') AS domain, count(*) AS chunks, sum(len(tokens))::BIGINT AS tokens, round(avg(len(tokens)), 6) AS avg_tokens FROM bags GROUP BY 1""",
+    "bm25_topk": rf"""WITH {CHUNKS}, {QUESTIONS}, {BAGS},
+        wanted AS (SELECT qid AS query_id, {QUERY_TEXT} AS query FROM asks WHERE regexp_extract(qid, '(\d+)$', 1)::BIGINT % {QUERY_STEP} = 0),
+        terms AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({_plain_tokens("query")}) AS term FROM wanted) GROUP BY ALL),
+        posts AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM bags) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM posts GROUP BY term), stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM bags),
+        scored AS (SELECT query_id, posts.chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * least(qf, 3) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(len(tokens), 1) / avgdl))), 6) AS score
+            FROM terms JOIN posts USING (term) JOIN df USING (term) JOIN bags ON bags.chunk_id = posts.chunk_id CROSS JOIN stats GROUP BY 1, 2)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, scored.chunk_id) AS rank, scored.chunk_id, score
+        FROM scored JOIN corpus ON corpus.chunk_id = scored.chunk_id QUALIFY rank <= 10""",
+    "option_values": rf"""WITH {QUESTIONS}, opts AS (SELECT qid, unnest(map_entries(options)) AS e FROM asks),
+        found AS (SELECT qid, upper(e.key) AS option, regexp_extract_all(e.value, '({config.VALUE})\s*(%|亿元|万元|元|倍|日|天|个工作日|个月|年)?', 1) AS nums, regexp_extract_all(e.value, '({config.VALUE})\s*(%|亿元|万元|元|倍|日|天|个工作日|个月|年)?', 2) AS units FROM opts),
+        flat AS (SELECT qid, option, generate_subscripts(nums, 1) - 1 AS pos, unnest(nums) AS num, unnest(units) AS unit FROM found)
+        SELECT qid, option, pos::BIGINT AS pos, replace(num, ',', '')::DOUBLE AS value, coalesce(unit, '') AS unit FROM flat WHERE coalesce(unit, '') <> '' OR length(num) > 1""",
+    "question_kind": f"""WITH {QUESTIONS}, {KINDS}
+        SELECT qid, kind, calc AS requires_calculation, comp OR calc AS requires_comparison, n::BIGINT AS option_numeric_count,
+            coalesce(array_to_string({_distinct("tags")}, '|'), '') AS tags,
+            CASE WHEN regexp_matches(ftext, '同比|增长率|增速|复合增长|CAGR|较.*(增长|下降)') THEN 'yoy' WHEN regexp_matches(ftext, '占比|比重|比例|占.*%') THEN 'ratio'
+                 WHEN regexp_matches(ftext, '差额|相差|增加了|减少了|下降了|高出|低于') THEN 'difference' WHEN regexp_matches(ftext, '合计|总计|总额|之和') THEN 'sum' ELSE 'unknown' END AS formula
+        FROM (SELECT *, list_filter([CASE WHEN calc THEN 'numeric' END, CASE WHEN comp THEN 'compare' END, CASE WHEN judge THEN 'judgement' END,
+            CASE WHEN domain <> '' THEN domain END, CASE WHEN answer_format <> '' THEN answer_format END], lambda t: t IS NOT NULL) AS tags FROM kinds)""",
+    "yearly_growth": """WITH y AS (SELECT o_orderpriority, year(o_orderdate)::BIGINT AS year, round(sum(o_totalprice), 2) AS amount FROM orders GROUP BY 1, 2)
+        SELECT o_orderpriority, year, amount, round((amount - lag(amount) OVER w) / abs(lag(amount) OVER w) * 100, 4) AS yoy_pct, round(amount / sum(amount) OVER (PARTITION BY o_orderpriority) * 100, 4) AS share_pct
+        FROM y WINDOW w AS (PARTITION BY o_orderpriority ORDER BY year)""",
+    "normalize_answers": f"""WITH {QUESTIONS}, {ANSWERS} SELECT replies.answer_id, {_letters("replies.answer", "replies.option_judgements")} AS letters FROM replies JOIN asks ON replies.qid = asks.qid""",
+    "eval_breakdown": f"""WITH {SCORED}, keyed AS (SELECT pred = gold AS ok, coalesce(domain, '') AS d, coalesce(answer_format, '') AS f, coalesce(type, '') AS t FROM scored)
+        SELECT CASE WHEN grouping(d) = 0 THEN 'domain:' || d WHEN grouping(f) = 0 THEN 'format:' || f WHEN grouping(t) = 0 THEN 'type:' || t ELSE 'overall' END AS key,
+            count(*) AS total, count(*) FILTER (ok) AS correct, round(count(*) FILTER (ok) / count(*), 6) AS accuracy
+        FROM keyed GROUP BY GROUPING SETS ((), (d), (f), (t))""",
+    "eval_errors": f"WITH {SCORED} SELECT qid, gold, pred, was_missing FROM scored WHERE pred <> gold",
+    "run_diagnostics": f"""WITH {RUNS}, keyed AS (SELECT error, evidence, gold, pred = gold AS ok, coalesce(domain, '') AS d, coalesce(kind, '') AS k FROM runs)
+        SELECT CASE WHEN grouping(d) = 0 THEN 'domain:' || d WHEN grouping(k) = 0 THEN 'kind:' || k ELSE 'overall' END AS key, count(*) AS total, count(error) AS errors,
+            count(*) FILTER (evidence = 0) AS no_evidence, count(gold) AS with_gold, count(*) FILTER (ok) AS correct, round(count(error) / count(*), 4) AS error_rate,
+            CASE WHEN count(gold) > 0 THEN round(count(*) FILTER (ok) / count(gold), 4) END AS accuracy
+        FROM keyed GROUP BY GROUPING SETS ((), (d), (k))""",
+    "suspects": f"""WITH {RUNS} SELECT answer_id, qid, error IS NOT NULL AS has_error, evidence::BIGINT AS evidence, (pred = gold)::BIGINT AS correct
+        FROM runs WHERE error IS NOT NULL OR evidence = 0 OR pred <> gold""",
+    "token_ledger": f"""WITH {ANSWERS} SELECT run_id, count(*) AS answers, sum(coalesce(token_usage.prompt_tokens, 0))::BIGINT AS prompt_tokens,
+            sum(coalesce(token_usage.completion_tokens, 0))::BIGINT AS completion_tokens, sum(coalesce(token_usage.total_tokens, 0))::BIGINT AS total_tokens
+        FROM replies WHERE run_id IS NOT NULL GROUP BY ROLLUP (run_id)""",
+    "budget_score": f"""WITH {RUNS}, per AS (SELECT run_id, count(*) AS answered, avg((pred = gold)::INT) AS acc, sum(tokens)::BIGINT AS tokens FROM runs WHERE gold IS NOT NULL GROUP BY run_id),
+        s AS (SELECT run_id, answered, round(acc, 6) AS accuracy, tokens, round(100 * acc * (0.7 + 0.3 * CASE WHEN tokens <= 0 THEN 0 ELSE greatest(0.0, least(1.0, (5000000 - tokens) / 5000000)) END), 6) AS score FROM per)
+        SELECT *, row_number() OVER (ORDER BY score DESC, accuracy DESC, tokens, run_id) AS rank FROM s""",
+}
