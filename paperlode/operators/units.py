@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
@@ -354,25 +355,27 @@ def predict(rows: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: int
     fitted = Pipeline(stages=stages).fit(train)
     labels = fitted.stages[0].labels
     units = sorted({x.split("|")[0] for x in labels})
+    member = np.array([[x.split("|")[0] == u for u in units] for x in labels], dtype=float)
+
+    @F.pandas_udf("top double, name string, unit string, unit_p double")
+    def best(p: pd.Series) -> pd.DataFrame:
+        p = np.stack(p.to_numpy()) if len(p) else np.zeros((0, len(labels)))
+        by_unit = p @ member
+        return pd.DataFrame({"top": p.max(axis=1), "name": np.take(labels, p.argmax(axis=1)), "unit": np.take(units, by_unit.argmax(axis=1)), "unit_p": by_unit.max(axis=1)})
 
     def scored(df: DataFrame) -> DataFrame:
         for stage in fitted.stages[1:]:
             df = stage.transform(df)
-        p = vector_to_array("probability")
-        df = df.withColumn("_p", p).drop("probability", "rawPrediction")
-        top = F.array_max("_p")
-        by = F.array(*[F.struct(sum((F.get("_p", F.lit(i)) for i, x in enumerate(labels) if x.split("|")[0] == u), F.lit(0.0)).alias("p"), F.lit(u).alias("u")) for u in units])
-        best = F.array_max(by)
-        name = F.get(F.array(*[F.lit(x) for x in labels]), F.array_position("_p", top).cast("int") - 1)
-        return df.withColumn("_top", top).withColumn("_name", name).withColumn("_cat", best)
-
-    held = cut_lineage(scored(bounded(known.filter(fold == 0), calibration_rows, 2)).select("label", "_top", "_name", "_cat", "common"))
+        # the probabilities leave the JVM once; as columns they would be computed anew for each use
+        return df.withColumn("_b", best(vector_to_array("probability"))).drop("probability", "rawPrediction", "prediction", "features")
+
+    held = cut_lineage(scored(bounded(known.filter(fold == 0), calibration_rows, 2)).select("label", "_b.*", "common"))
     # scores are rounded to hundredths, so a fit is a table of 101 values
     fit = lambda score, right: table(held.select(F.round(score, 2).alias("score"), right.cast("double").alias("right")))
-    unit_curve = fit(F.col("_top"), F.col("_name") == F.col("label"))
-    category_curve = fit(F.col("_cat.p"), F.col("_cat.u") == F.col("common"))
+    unit_curve = fit(F.col("top"), F.col("name") == F.col("label"))
+    category_curve = fit(F.col("unit_p"), F.col("unit") == F.col("common"))
     asked = scored(ask)
-    asked = add(asked, F.col("_name"), calibrated(F.col("_top"), unit_curve), F.col("_cat.u"), calibrated(F.col("_cat.p"), category_curve))
+    asked = add(asked, F.col("_b.name"), calibrated(F.col("_b.top"), unit_curve), F.col("_b.unit"), calibrated(F.col("_b.unit_p"), category_curve))
     return asked.unionByName(add(rest, empty, empty, empty, empty))
 
 
