@@ -174,20 +174,33 @@ def unit_pattern() -> tuple[re.Pattern, re.Pattern]:
     return re.compile(rf"\s*({one})", re.I), re.compile(r"(人民币|rmb|cny|usd|us\$|[¥$￥])\s*$", re.I)
 
 
-def stated_in(passage: str, n: float, metric: str | None, year: int | None) -> tuple[str, float] | None:
-    """The unit that a passage gives for a number, near its metric; table cells take the unit of the table's heading."""
-    text = "".join(ch for ch in unicodedata.normalize("NFKC", passage) if unicodedata.category(ch) != "Cf")
+@lru_cache(maxsize=1)
+def invisible() -> re.Pattern:
+    """All format characters, from the Unicode character data."""
+    return re.compile("[" + "".join(map(chr, (n for n in range(0x110000) if not 0xD800 <= n < 0xE000 and unicodedata.category(chr(n)) == "Cf"))) + "]")
+
+
+@lru_cache(maxsize=256)
+def prepared(passage: str) -> tuple[str, str, list[tuple[float, re.Match]]]:
+    """A passage without the line breaks that only fit the width, in lower case too, and its numbers. Kept, as the rows
+    that name a passage come together."""
+    text = invisible().sub("", unicodedata.normalize("NFKC", passage))
     text = re.sub(r"(?<=\d)[Oo](?=[\d,.])|(?<=[\d,.])[Oo](?=\d)", "0", text)
     text = re.sub(r"(?<=[\d,.])[lI](?=[\d,.])", "1", text)
     text = re.sub(r"(?<=[一-鿿\d，。；：、,.])[ \t]*\n[ \t]*(?=[一-鿿\d，。；：、,.%‰])(?!\d+\.\d+ )", "", text)
+    flat = re.sub(r"[ \t]*\n[ \t]*(?![\n|])", " ", text)
+    found = [(number(m[0]), m) for m in _NUM.finditer(flat)]
+    return flat, flat.lower(), [(float(v), m) for v, m in found if v is not None]
+
+
+def stated_in(passage: str, n: float, metric: str | None, year: int | None) -> tuple[str, float] | None:
+    """The unit that a passage gives for a number, near its metric; table cells take the unit of the table's heading."""
+    flat, low, numbers = prepared(passage)
     after, before = unit_pattern()
     want = unicodedata.normalize("NFKC", metric).lower() if metric else ""
-    flat = re.sub(r"[ \t]*\n[ \t]*(?![\n|])", " ", text)
-    low = flat.lower()
     best = None
-    for m in _NUM.finditer(flat):
-        value = number(m[0])
-        if value is None or abs(float(value) - n) > 1e-9 * max(1.0, abs(n)):
+    for value, m in numbers:
+        if abs(value - n) > 1e-9 * max(1.0, abs(n)):
             continue
         near = low[max(0, m.start() - METRIC_GAP) : m.end() + METRIC_GAP]
         if want and want not in near and want.replace(" ", "") not in near.replace(" ", ""):
