@@ -24,9 +24,10 @@ def answer_text(value: Column) -> Column:
 
 def judgements(value: Column) -> Column:
     """map<letter, boolean> of the options a parsed reply judges, under any of the usual keys."""
-    direct = F.coalesce(*[F.try_variant_get(value, f"$.{k}", "map<string,boolean>") for k in ("option_judgements", "judgements", "opt")])
-    nested = F.coalesce(*[F.try_variant_get(value, f"$.{k}", "map<string,struct<verdict:boolean>>") for k in ("option_judgements", "judgements", "opt")])
-    both = F.coalesce(direct, F.transform_values(nested, lambda _, v: v["verdict"]))
+    keys = ("option_judgements", "judgements", "opt")
+    raw = F.coalesce(*[F.try_variant_get(value, f"$.{k}", "map<string,variant>") for k in keys])
+    truth = lambda v: F.coalesce(F.try_variant_get(v, "$.verdict", "boolean"), F.try_variant_get(v, "$.v", "boolean"), F.try_variant_get(v, "$", "boolean"), F.lit(False))
+    both = F.transform_values(raw, lambda _, v: truth(v))
     return F.map_filter(F.transform_keys(both, lambda k, _: F.upper(k)), lambda k, _: k.isin("A", "B", "C", "D"))
 
 

@@ -26,9 +26,8 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     under different folders get the same doc_id; `same_ids` reports them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
     plain = F.regexp_replace("path", "^file:/+", "/")
-    rest = F.substring_index(plain, base, -1)
+    rest = F.substring_index(plain, root.rstrip("/") + "/", -1)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
     folder = F.when(F.contains(rest, F.lit("/")), F.substring_index(rest, "/", 1)).otherwise(F.element_at(F.split(F.lit(root.rstrip("/")), "/"), -1))
