@@ -313,12 +313,12 @@ COMMON_UNITS = (*PLAIN_UNITS, "cny", "usd")
 FEATURES = ["size", "near", "neighbours", "negative", "broken", "metric_scale", "source_money", "source_ratio", *(f"as_{u}" for u in COMMON_UNITS)]
 
 
-def features(rows: DataFrame) -> DataFrame:
-    """Add what the classifier looks at: magnitude, decimals and sign; how the rows of the metric that state their unit
+def features(rows: DataFrame, every: DataFrame) -> DataFrame:
+    """Add to rows what the classifier looks at, from all rows: magnitude, decimals and sign; how the rows of the metric that state their unit
     are spread over the common units; the scales that the source uses; the distance to the neighbouring rows of the
     issuer's metric. Only sums by metric, source and issuer are shuffled."""
     log = lambda c: F.log10(F.greatest(F.abs(c), F.lit(1e-9)))
-    told = rows.filter("stated_by IS NOT NULL").withColumn("_s", log(F.col("number") * F.col("factor"))).withColumn("_f", log(F.col("factor")))
+    told = every.filter("stated_by IS NOT NULL").withColumn("_s", log(F.col("number") * F.col("factor"))).withColumn("_f", log(F.col("factor")))
     own = told.filter("metric IS NOT NULL AND issuer IS NOT NULL").groupBy("issuer", "metric").agg(F.avg("_s").alias("own_size"), F.count("*").cast("double").alias("own_n"))
     shares = [F.avg((F.col("common") == u).cast("double")).alias(f"as_{u}") for u in COMMON_UNITS]
     metric = told.filter("metric IS NOT NULL").groupBy("metric").agg(F.avg("_f").alias("metric_scale"), *shares)
@@ -349,17 +349,16 @@ def predict(rows: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: int
     rows are the result of `stated_units`. A random forest is fitted on a bounded sample of the rows that state
     their unit, and calibrated by isotonic regression on another. Without rows to learn from, nothing is predicted.
     """
-    feats = cut_lineage(features(rows))
     label = F.concat_ws("|", "common", F.col("factor").cast("string"))
-    known = feats.filter("stated_by IN ('raw', 'unit', 'passage') AND number IS NOT NULL").withColumn("label", label)
+    known = rows.filter("stated_by IN ('raw', 'unit', 'passage') AND number IS NOT NULL").withColumn("label", label)
     fold = F.pmod(F.xxhash64("value_id"), F.lit(4))
-    train = cut_lineage(bounded(known.filter(fold != 0), train_rows, 1))
-    ask = feats.filter("stated_by IS NULL AND number IS NOT NULL")
+    train = cut_lineage(features(bounded(known.filter(fold != 0), train_rows, 1), rows))
+    ask = features(rows.filter("stated_by IS NULL AND number IS NOT NULL"), rows)
     empty = F.lit(None)
-    rest = feats.filter("stated_by IS NOT NULL OR number IS NULL")
+    rest = rows.filter("stated_by IS NOT NULL OR number IS NULL")
     add = lambda df, p, q, c, d: df.select(*rows.columns, p.cast("string").alias("predicted"), q.cast("double").alias("probability"), c.cast("string").alias("category"), d.cast("double").alias("category_p"))
     if len(train.select("label").distinct().take(2)) < 2:
-        return add(feats, empty, empty, empty, empty)
+        return add(rows, empty, empty, empty, empty)
     stages = [
         StringIndexer(inputCol="label", outputCol="target", handleInvalid="skip", stringOrderType="alphabetAsc"),
         VectorAssembler(inputCols=FEATURES, outputCol="features"),
@@ -382,7 +381,7 @@ def predict(rows: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: int
         # the probabilities leave the JVM once; as columns they would be computed anew for each use
         return df.withColumn("_b", best(vector_to_array("probability"))).drop("probability", "rawPrediction", "prediction", "features")
 
-    held = cut_lineage(scored(bounded(known.filter(fold == 0), calibration_rows, 2)).select("label", "_b.*", "common"))
+    held = cut_lineage(scored(features(bounded(known.filter(fold == 0), calibration_rows, 2), rows)).select("label", "_b.*", "common"))
     # scores are rounded to hundredths, so a fit is a table of 101 values
     fit = lambda score, right: table(held.select(F.round(score, 2).alias("score"), right.cast("double").alias("right")))
     unit_curve = fit(F.col("top"), F.col("name") == F.col("label"))
@@ -409,7 +408,8 @@ def common_units(values: DataFrame, passages: DataFrame, sources: DataFrame, con
     confident, `review` where it is not, and `none` where there is no number. Null fields are allowed anywhere; a
     re-delivered row counts once; unknown spellings of units count as no unit; empty tables give no rows.
     """
-    rows = predict(cut_lineage(stated_units(values, passages, sources)))
+    kept = ["value_id", "issuer", "source", "metric", "value", "number", "common", "factor", "stated_by", "source_cny", "source_bp"]
+    rows = predict(cut_lineage(stated_units(values, passages, sources).select(kept)))
     source_factor = F.when(F.col("category") == "cny", F.col("source_cny")).when(F.col("category") == "bp", F.col("source_bp"))
     by_source = F.col("stated_by").isNull() & source_factor.isNotNull() & (F.col("category_p") >= confident)
     rows = rows.withColumn("_by_source", F.coalesce(by_source, F.lit(False)))
