@@ -59,7 +59,7 @@ def split_text(df: DataFrame, text: str, limit: str, overlap: str, out: str = "p
     Cuts are made in the order described above, so the result is the same on every run. Each later piece begins
     with the last `overlap` characters of what was cut before it. Very long texts are cut as any other.
     """
-    t, most = F.col(text), F.greatest(F.col(limit), F.lit(1))
+    t, most = F.col(text), F.when(F.col(limit).isNotNull(), F.greatest(F.col(limit), F.lit(1)))
     back = F.least(F.greatest(F.coalesce(F.col(overlap), F.lit(0)), F.lit(0)), (most / 2).cast("int"))
     whole = most.isNull() | (F.length(t) <= most)
     cuts = F.when(t.isNull() | (t == ""), F.array().cast("array<string>")).when(whole, F.array(t)).otherwise(F.regexp_extract_all(t, cut_pattern(most, back), F.lit(0)))
