@@ -32,7 +32,7 @@ def cut_pattern(limit: Column, overlap: Column) -> Column:
     def alternatives(most: Column) -> Column:
         least = F.greatest((most / 2).cast("int"), F.least(overlap, most), F.lit(1)).cast("string")
         upto = most.cast("string")
-        parts = [F.concat(F.lit(".{1,"), upto, F.lit(r"}\z"))]
+        parts = [F.concat(F.lit(".{1,"), upto, F.lit(r"}+\z"))]
         parts += [F.concat(F.lit(".{"), least, F.lit(","), upto, F.lit("}" + b)) for b in BOUNDARIES]
         parts += [F.concat(F.lit(".{1,"), upto, F.lit("}"))]
         return F.concat_ws("|", *parts)
@@ -87,6 +87,12 @@ def with_limits(df: DataFrame, limits: DataFrame) -> DataFrame:
     return out.withColumn("max_chars", F.coalesce("_max", "_max0")).withColumn("overlap_chars", F.coalesce("_overlap", "_overlap0")).drop("_domain", "_one", "_max", "_overlap", "_max0", "_overlap0")
 
 
+def exploded(array: str) -> Column:
+    """Rows of an array. The outer form, as for the plain one Spark tests the array's size first, and with it works
+    out all that the array is made of once more, for each of its places."""
+    return F.explode_outer(array)
+
+
 def headings(text: Column) -> Column:
     """array<struct<pos, top, title>> of the heading lines of a text."""
     parts = F.split(text, r"(?m)(?=^" + HEADING + r"$)")
@@ -122,7 +128,7 @@ def split_oversized(filings: DataFrame, chunks: DataFrame, limits: DataFrame) ->
 
     f = with_limits(filings.select("doc_id", "domain", "text"), limits)
     f = split_text(f, "text", "max_chars", "overlap_chars").withColumn("_heads", headings(F.col("text")))
-    f = f.select(F.lit("filings").alias("item_table"), F.col("doc_id").alias("item_id"), "_heads", F.size("pieces").alias("n_pieces"), F.explode("pieces").alias("p"))
+    f = f.select(F.lit("filings").alias("item_table"), F.col("doc_id").alias("item_id"), "_heads", F.size("pieces").alias("n_pieces"), exploded("pieces").alias("p")).filter("p IS NOT NULL")
     f = f.select("item_table", "item_id", "n_pieces", "p.piece_no", section_at(F.col("_heads"), F.col("p.start")).alias("section_path"), F.col("p.start").alias("char_start"), F.col("p.end").alias("char_end"), "p.text")
 
     c = with_limits(chunks.select("chunk_id", "doc_id", "domain", "section_path", "text", F.col("char_start").alias("_from"), F.col("char_end").alias("_to")), limits)
@@ -136,7 +142,7 @@ def split_oversized(filings: DataFrame, chunks: DataFrame, limits: DataFrame) ->
         moved = F.coalesce(F.aggregate(passed, F.lit(0), lambda a, m: a + m["_marks"]), F.lit(0))
         return F.least(F.col("_from") + at + moved, F.col("_to"))
 
-    c = c.withColumn("_base", base).select(F.lit("chunks").alias("item_table"), F.col("chunk_id").alias("item_id"), F.size("pieces").alias("n_pieces"), "section_path", "_heads", "_bare", "_marks", "_shift", "_base", "_from", "_to", F.explode("pieces").alias("p"))
+    c = c.withColumn("_base", base).select(F.lit("chunks").alias("item_table"), F.col("chunk_id").alias("item_id"), F.size("pieces").alias("n_pieces"), "section_path", "_heads", "_bare", "_marks", "_shift", "_base", "_from", "_to", exploded("pieces").alias("p")).filter("p IS NOT NULL")
     path = F.coalesce("section_path", section_at(F.col("_heads"), F.col("_from")), F.array().cast("array<string>"))
     c = c.select("item_table", "item_id", "n_pieces", "p.piece_no", path.alias("section_path"), place(F.col("p.start"), False).alias("char_start"), place(F.col("p.end"), True).alias("char_end"), "p.text")
     return f.unionByName(c)
