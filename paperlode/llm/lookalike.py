@@ -105,7 +105,7 @@ def one_form(df: DataFrame, keys: list[str], text: str = "text", out: str = "for
 
     keep = rf"{EMOJI}\x{{FE0F}}?\x{{200D}}(?={EMOJI})|[\x{{94D}}\x{{9CD}}\x{{DCA}}\x{{E3A}}][\x{{200C}}\x{{200D}}]"
     cut = F.regexp_extract_all("_t", F.lit(rf"(?s)[{PLAIN}]+(?![\p{{M}}\x{{200D}}])|{keep}|."), F.lit(0))
-    rows = src.filter(needs).select(*named, F.posexplode(cut).alias("_pos", "piece"))
+    rows = src.filter(needs).select(*named, F.posexplode_outer(cut).alias("_pos", "piece"))  # the plain form would cut twice, to test for emptiness
     rows = rows.join(F.broadcast(parts), "piece", "left")
     rows = rows.select(*named, "_pos", F.posexplode_outer(F.coalesce("parts", F.array(F.struct(F.col("piece").alias("c"), F.lit(0).alias("ccc"))))).alias("_sub", "_part"))
     rows = rows.select(*named, (F.col("_pos") * 64 + F.coalesce("_sub", F.lit(0))).alias("_at"), F.coalesce("_part.c", F.lit("")).alias("_c"), F.coalesce("_part.ccc", F.lit(-1)).alias("_ccc"))
