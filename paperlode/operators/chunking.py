@@ -71,7 +71,7 @@ def split_large(rows: DataFrame, settings: Chunking = Chunking()) -> DataFrame:
     units = F.filter(F.transform(F.when(F.size(units) <= 1, slices).otherwise(units), T.strip), lambda u: u != "")
     parts = F.when(F.length("text") <= F.floor(most * 1.15), F.array("text")).otherwise(greedy(units, F.greatest(most, F.lit(settings.min_chars)), F.when(by_line, "\n").otherwise("")))
     cut = rows.withColumn("_whole", F.length("text") <= F.floor(most * 1.15)).withColumn("_parts", parts)
-    cut = cut.select("doc_id", "domain", "idx", "page", "kind", "_whole", F.col("char_start").alias("_from"), F.col("char_end").alias("_to"), F.posexplode("_parts").alias("part", "text"))
+    cut = cut.select("doc_id", "domain", "idx", "page", "kind", "_whole", F.col("char_start").alias("_from"), F.col("char_end").alias("_to"), F.posexplode_outer("_parts").alias("part", "text")).filter("part IS NOT NULL")
     order = Window.partitionBy("doc_id").orderBy("idx", "part")
     inside = Window.partitionBy("doc_id", "idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     start = F.when(F.col("_whole"), F.col("_from")).otherwise(F.col("_from") + F.coalesce(F.sum(F.length("text")).over(inside), F.lit(0)))
