@@ -24,6 +24,8 @@ from paperlode.llm.patterns import rx
 from paperlode.session import cut_lineage
 
 SIMILAR, SHINGLE, BANDS, ROWS, OPENING, LEADERS = 0.8, 5, 16, 4, 40, 64
+#: Members of a bucket that are compared with as many others in one piece of work.
+BLOCK = 512
 #: A class is a template of refusal from so many questions on, with at most this share of answered replies.
 MIN_PROMPTS, MOST_ANSWERED = 2, 0.05
 #: Words of hollow frames, in lower case.
@@ -231,25 +233,47 @@ def classes(texts: DataFrame) -> DataFrame:
 
     In each bucket the texts are compared with its first LEADERS texts, so a bucket of no more than these is
     compared in full. In a larger one, texts that are similar to a leader are settled and the others elect the next
-    leaders, until none is left: no bucket is expanded into all its pairs and none is dropped. Links are then
-    followed to the smallest id.
+    leaders, until none is left. Links are then followed to the smallest id. Texts of a larger bucket that are in
+    different classes after that are compared with each other, as similarity is not transitive, block by block, so
+    that no bucket is the work of one task; pairs that already share a class could add nothing.
     """
     s = cut_lineage(signed(texts))
-    members = s.select("id", F.explode("bands").alias("bucket"))
+    every = members = s.select("id", F.explode("bands").alias("bucket"))
     links = None
     while True:
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
         leaders = members.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).select("bucket", F.col("id").alias("leader"))
         led = members.join(leaders, "bucket").filter("id > leader")
-        pairs = led.select("id", "leader").distinct()
-        pairs = pairs.join(s.select("id", "shingles"), "id").join(s.select(F.col("id").alias("leader"), F.col("shingles").alias("other")), "leader")
-        alike = F.size(F.array_intersect("shingles", "other")) >= SIMILAR * F.size(F.array_union("shingles", "other"))
-        good = cut_lineage(pairs.filter(alike).select("id", "leader"))
+        good = similar(led.select("id", "leader").distinct(), s)
         links = good if links is None else links.unionByName(good)
         settled = led.join(good, ["id", "leader"], "left_semi").select("bucket", "id").unionByName(leaders.select("bucket", F.col("leader").alias("id")))
         members = cut_lineage(members.join(settled, ["bucket", "id"], "left_anti"))
         if members.isEmpty():
             break
+    labels = followed(links, s)
+    large = every.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > LEADERS)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = every.join(large, "bucket").join(labels, "id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = cut_lineage(placed.select("bucket", "id", "class_id", "block", "blocks"))
+    if placed.isEmpty():
+        return labels
+    left = placed.select("bucket", F.col("block").alias("row"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("col"), "id", "class_id")
+    right = placed.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("row"), F.col("block").alias("col"), F.col("id").alias("leader"), F.col("class_id").alias("_class"))
+    apart = left.join(right, ["bucket", "row", "col"]).filter("id > leader AND class_id <> _class").select("id", "leader").distinct()
+    across = similar(apart, s)
+    return labels if across.isEmpty() else followed(links.unionByName(across), s)
+
+
+def similar(pairs: DataFrame, s: DataFrame) -> DataFrame:
+    """Those of the pairs (id, leader) whose shingles are verified to be similar."""
+    pairs = pairs.join(s.select("id", "shingles"), "id").join(s.select(F.col("id").alias("leader"), F.col("shingles").alias("other")), "leader")
+    few, many = F.least(F.size("shingles"), F.size("other")), F.greatest(F.size("shingles"), F.size("other"))
+    alike = F.size(F.array_intersect("shingles", "other")) >= SIMILAR * F.size(F.array_union("shingles", "other"))
+    return cut_lineage(pairs.filter((few >= SIMILAR * many) & alike).select("id", "leader"))
+
+
+def followed(links: DataFrame, s: DataFrame) -> DataFrame:
+    """(id, class_id): the smallest id that the links (id, leader) lead to from each id."""
     links = cut_lineage(links.select("id", F.col("leader").alias("to")).unionByName(links.select(F.col("leader").alias("id"), F.col("id").alias("to"))).distinct())
     labels = s.select("id", F.col("id").alias("class_id"))
     while True:

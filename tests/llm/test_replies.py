@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from paperlode.llm import replies as R
 
@@ -56,3 +57,14 @@ def test_classes_against_all_pairs(spark):
             if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     assert got == {i: root(i) for i in range(len(texts))}
+
+
+def test_links_between_settled_texts(spark, monkeypatch):
+    """Texts that are similar to different leaders of one bucket, and to each other, are one class."""
+    signed, words = R.signed, [f"w{i}" for i in range(60)]
+    monkeypatch.setattr(R, "LEADERS", 1)
+    monkeypatch.setattr(R, "BLOCK", 2)
+    monkeypatch.setattr(R, "signed", lambda texts: signed(texts).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    texts = [" ".join(words[4 * i : 4 * i + 40]) for i in range(6)] + ["quite another text that has nothing in common"]
+    got = dict(map(tuple, R.classes(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()))
+    assert got == {**dict.fromkeys(range(6), 0), 6: 6}
