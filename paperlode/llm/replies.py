@@ -183,28 +183,31 @@ def expected_language(question: str | None) -> str:
 
 
 def replies(answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """(answer_id, qid, shape, answered, opening, other_language) of every reply, once for each answer_id.
+    """(answer_id, qid, prompt, shape, answered, opening, other_language) of every reply, once for each answer_id.
 
+    prompt is the same for questions that are one in letters and digits, whatever their ids; a question without any is
+    told by its id.
     A null reply is empty; a reply to an unknown question is checked without it. Re-delivered answers and repeated
     questions count once.
     """
     q = questions.filter("qid IS NOT NULL").select("qid", "question", F.map_values("options").alias("options")).groupBy("qid").agg(F.first("question", True).alias("question"), F.first("options", True).alias("options"))
     a = answers.filter("answer_id IS NOT NULL").select("answer_id", "qid", "raw_model_output")
 
-    @F.pandas_udf("shape string, answered boolean, opening string, other_language boolean")
+    @F.pandas_udf("asked string, shape string, answered boolean, opening string, other_language boolean")
     def look(raw: pd.Series, question: pd.Series, options: pd.Series) -> pd.DataFrame:
         rows = []
         for r, q, o in zip(raw, question, options):
             x = taken_apart(r, q, [] if o is None else [v for v in o if v])
             want, have = expected_language(q), language(x["reasons"]) if len(fold(x["reasons"])) >= 8 else ""
-            rows.append((x["shape"], x["answered"], masked(x["opening"], q), bool(want and have and want != have)))
-        return pd.DataFrame(rows, columns=["shape", "answered", "opening", "other_language"])
+            rows.append((fold(q or ""), x["shape"], x["answered"], masked(x["opening"], q), bool(want and have and want != have)))
+        return pd.DataFrame(rows, columns=["asked", "shape", "answered", "opening", "other_language"])
 
     both = a.join(q, "qid", "left")
     # by the key that is made unique below, and in a given number of parts, as few bytes hold much work for Python
     both = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), "answer_id")
     both = both.select("answer_id", "qid", look("raw_model_output", "question", "options").alias("x"))
-    return both.select("answer_id", "qid", "x.*").dropDuplicates(["answer_id"])
+    asked = F.when(F.col("x.asked") != "", F.md5(F.col("x.asked").cast("binary"))).otherwise(F.concat(F.lit("qid "), "qid"))
+    return both.select("answer_id", "qid", asked.alias("prompt"), "x.shape", "x.answered", "x.opening", "x.other_language").dropDuplicates(["answer_id"])
 
 
 def signed(texts: DataFrame) -> DataFrame:
@@ -288,11 +291,14 @@ def templates(parsed: DataFrame) -> DataFrame:
     """(opening, class_id, prompts, replies, answered, refusal) of all openings of whole replies.
 
     Openings are grouped before anything is compared, so a template that a third of all replies share is one row.
+    prompts are the different questions of a class; several replies to one question, or to copies of it, are one.
     """
-    openings = parsed.filter("shape = 'plain' AND opening <> ''").groupBy("opening").agg(F.countDistinct("qid").alias("prompts"), F.count("*").alias("replies"), F.sum(F.col("answered").cast("int")).alias("answered"))
+    whole = parsed.filter("shape = 'plain' AND opening <> ''")
+    openings = whole.groupBy("opening").agg(F.count("*").alias("replies"), F.sum(F.col("answered").cast("int")).alias("answered"))
     openings = cut_lineage(openings.withColumn("id", F.xxhash64("opening")))
-    of = classes(openings.select("id", F.col("opening").alias("text"))).join(openings, "id")
-    total = of.groupBy("class_id").agg(F.sum("prompts").alias("prompts"), F.sum("replies").alias("replies"), F.sum("answered").alias("answered"))
+    of = cut_lineage(classes(openings.select("id", F.col("opening").alias("text"))).join(openings, "id"))
+    asked = whole.select("opening", "prompt").distinct().join(of.select("opening", "class_id"), "opening").groupBy("class_id").agg(F.countDistinct("prompt").alias("prompts"))
+    total = of.groupBy("class_id").agg(F.sum("replies").alias("replies"), F.sum("answered").alias("answered")).join(asked, "class_id")
     refusal = (F.col("prompts") >= MIN_PROMPTS) & (F.col("answered") <= MOST_ANSWERED * F.col("replies"))
     return of.select("opening", "class_id").join(total.withColumn("refusal", refusal), "class_id")
 

@@ -68,3 +68,13 @@ def test_links_between_settled_texts(spark, monkeypatch):
     texts = [" ".join(words[4 * i : 4 * i + 40]) for i in range(6)] + ["quite another text that has nothing in common"]
     got = dict(map(tuple, R.classes(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()))
     assert got == {**dict.fromkeys(range(6), 0), 6: 6}
+
+
+def test_one_question_makes_no_template(spark):
+    """Replies to one question, or to its copies under other ids, are no recurring refusal; to two questions they are."""
+    words = " ".join(f"word{i}" for i in range(30))
+    questions = [("q1", "What is the margin of the first year?", None), ("q2", "what is the margin of the first year ?", None), ("q3", "Who signed the lease?", None), ("q4", "Which rate was agreed?", None)]
+    rows = [(1, "q1", words + " once.", ""), (2, "q1", words + " twice.", ""), (3, "q2", words + " thrice.", ""), (4, "q3", words[::-1] + " a.", ""), (5, "q4", words[::-1] + " b.", "")]
+    parsed = R.cut_lineage(R.replies(spark.createDataFrame(rows, ANSWER), spark.createDataFrame(questions, QUESTION)))
+    got = {(r["prompts"], r["replies"], r["refusal"]) for r in R.templates(parsed).collect()}
+    assert got == {(1, 3, False), (2, 2, True)}
