@@ -34,6 +34,8 @@ SAME_LOOK = {"", "<wide>", "<narrow>", "<noBreak>", "<compat>", "<square>", "<fo
 WIDE_MARKS, NARROW_MARKS = "，！？：；（）％", ",!?:;()%"
 #: Fixed value: frequent characters that no rule touches; all others are looked up one by one.
 PLAIN = r"\n\x20-\x7E一-鿿、。“”《》—·‰…ÖÜäöüéñ"
+#: Jamo that print as one syllable, and a syllable that a trailing jamo is added to.
+SYLLABLE = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?|[\x{AC00}-\x{D7A3}][\x{11A8}-\x{11C2}]"
 EMOJI = r"[\x{2600}-\x{27BF}\x{1F000}-\x{1FAFF}]"
 
 
@@ -78,9 +80,20 @@ def code_points() -> tuple[list[tuple[str, list[tuple[str, int]]]], list[tuple[s
     return table, composed
 
 
+def syllables() -> list[tuple[str, list[tuple[str, int]]]]:
+    """(jamo, their syllable with class 0), also where only the trailing jamo stands apart. All Hangul syllables."""
+    out = []
+    for n in range(0xAC00, 0xD7A4):
+        jamo = unicodedata.normalize("NFD", chr(n))
+        out.append((jamo, [(chr(n), 0)]))
+        if len(jamo) == 3:
+            out.append((unicodedata.normalize("NFC", jamo[:2]) + jamo[2], [(chr(n), 0)]))
+    return out
+
+
 def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     table, composed = code_points()
-    table = [*table, ("\t", [(" ", 0)]), ("\r", [])]
+    table = [*table, ("\t", [(" ", 0)]), ("\r", []), *syllables()]
     parts = spark.createDataFrame(table, "piece string, parts array<struct<c: string, ccc: int>>")
     return parts, spark.createDataFrame(composed, "cluster string, whole string")
 
@@ -104,7 +117,7 @@ def one_form(df: DataFrame, keys: list[str], text: str = "text", out: str = "for
     done = src.filter(F.coalesce(~needs, F.lit(True))).select(*named, F.col("_t").alias(out))
 
     keep = rf"{EMOJI}\x{{FE0F}}?\x{{200D}}(?={EMOJI})|[\x{{94D}}\x{{9CD}}\x{{DCA}}\x{{E3A}}][\x{{200C}}\x{{200D}}]"
-    cut = F.regexp_extract_all("_t", F.lit(rf"(?s)[{PLAIN}]+(?![\p{{M}}\x{{200D}}])|{keep}|."), F.lit(0))
+    cut = F.regexp_extract_all("_t", F.lit(rf"(?s)[{PLAIN}]+(?![\p{{M}}\x{{200D}}])|{keep}|{SYLLABLE}|."), F.lit(0))
     rows = src.filter(needs).select(*named, F.posexplode_outer(cut).alias("_pos", "piece"))  # the plain form would cut twice, to test for emptiness
     rows = rows.join(F.broadcast(parts), "piece", "left")
     rows = rows.select(*named, "_pos", F.posexplode_outer(F.coalesce("parts", F.array(F.struct(F.col("piece").alias("c"), F.lit(0).alias("ccc"))))).alias("_sub", "_part"))

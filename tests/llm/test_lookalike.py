@@ -48,3 +48,10 @@ def test_many_copies_of_one_text(spark, n):
     q = spark.createDataFrame([(f"q{i:04d}", "same，text") for i in range(n)] + [("r", "same,text")], "qid string, question string")
     c = spark.createDataFrame([], "chunk_id string, text string")
     assert L.lookalike_pairs(L.lookalike_records(q, c)).count() == n
+
+
+def test_decomposed_hangul(spark):
+    text = "한국어 문서의 값, 각각 닭"
+    parted = unicodedata.normalize("NFD", text)
+    composed, taken_apart, mixed, letters = forms(spark, [text, parted, text.replace("값", "가" + parted[parted.index(unicodedata.normalize("NFD", "값")) + 2]), text.replace("값", "ㄱㅏㅄ")])
+    assert composed == taken_apart == mixed == text and letters != text
