@@ -39,13 +39,10 @@ def classify(questions: DataFrame) -> DataFrame:
 def formula(question: Column, options: Column) -> Column:
     """Growth over a year, ratio, difference or sum, by the words of question and options, in this order."""
     text = F.concat_ws("\n", F.coalesce(question, F.lit("")), F.array_join(option_values(options), " "))
-    return (
-        F.when(text.rlike("同比|增长率|增速|复合增长|CAGR|较.*(增长|下降)"), "yoy")
-        .when(text.rlike("占比|比重|比例|占.*%"), "ratio")
-        .when(text.rlike("差额|相差|增加了|减少了|下降了|高出|低于"), "difference")
-        .when(text.rlike("合计|总计|总额|之和"), "sum")
-        .otherwise("unknown")
-    )
+    out = F.lit("unknown")
+    for name, words in reversed(config.FORMULAS.items()):
+        out = F.when(text.rlike(words), name).otherwise(out)
+    return out
 
 
 def hint(kind: Column, calculation: Column, comparison: Column, count: Column, tags: Column) -> Column:

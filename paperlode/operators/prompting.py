@@ -66,7 +66,7 @@ def call(prompts: DataFrame, client: Client = mock, retries: int = 3) -> DataFra
     return prompts.select("qid", "prompt").mapInPandas(run, "qid string, raw string, prompt_tokens long, completion_tokens long, total_tokens long, error string")
 
 
-def second_pass(answer: Column, form: Column, kind: Column, confidence: Column, forms: tuple[str, ...] = ("multi",), kinds: tuple[str, ...] = ("calculation",), least: float = 0.68) -> Column:
+def second_pass(answer: Column, form: Column, kind: Column, confidence: Column, forms: tuple[str, ...] = ("multi",), kinds: tuple[str, ...] = ("calculation", "comparison"), least: float = 0.68) -> Column:
     """Whether a first answer should be checked: none given, a form or kind that asks for it, or low confidence."""
     low = (confidence > 0) & (confidence < least)
     return F.coalesce(T.strip(answer) == "", F.lit(True)) | F.coalesce(form.isin(*forms), F.lit(False)) | F.coalesce(kind.isin(*kinds), F.lit(False)) | F.coalesce(low, F.lit(False))

@@ -86,8 +86,7 @@ def structured_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.bm25(_queries(spark, sf_dir), _chunks(spark, sf_dir), T.plain_tokens)
-    best = search.top(hits.withColumn("bm25", F.round("bm25", 6)), 10, "bm25")
+    best = search.bm25_top(_queries(spark, sf_dir), _chunks(spark, sf_dir), 10, T.plain_tokens)
     return best.select("query_id", "rank", "chunk_id", F.col("bm25").alias("score"))
 
 
@@ -113,11 +112,12 @@ def retrieve_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_evidence(spark, sf_dir), _questions(spark, sf_dir)).select("qid", "place", "evidence_id", "chunk_id", "doc_id", "option", F.length("text").cast("bigint").alias("chars"))
+    return packing.pack(_evidence(spark, sf_dir), _asked(spark, sf_dir)).select("qid", "place", "evidence_id", "chunk_id", "doc_id", "option", F.length("text").cast("bigint").alias("chars"))
 
 
 def render_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.render(packing.pack(_evidence(spark, sf_dir), _questions(spark, sf_dir)))
+    asked = _asked(spark, sf_dir)
+    return packing.render(packing.pack(_evidence(spark, sf_dir), asked), asked)
 
 
 def solve_questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ SQL: dict[str, str] = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, scored.chunk_id) AS rank, scored.chunk_id, score
         FROM scored JOIN corpus ON corpus.chunk_id = scored.chunk_id QUALIFY rank <= 10""",
     "option_values": rf"""WITH {QUESTIONS}, opts AS (SELECT qid, unnest(map_entries(options)) AS e FROM asks),
-        found AS (SELECT qid, upper(e.key) AS option, regexp_extract_all(e.value, '({config.VALUE})\s*(%|亿元|万元|元|倍|日|天|个工作日|个月|年)?', 1) AS nums, regexp_extract_all(e.value, '({config.VALUE})\s*(%|亿元|万元|元|倍|日|天|个工作日|个月|年)?', 2) AS units FROM opts),
+        found AS (SELECT qid, upper(e.key) AS option, regexp_extract_all(e.value, '({config.VALUE})\s*({config.OPTION_UNIT})?', 1) AS nums, regexp_extract_all(e.value, '({config.VALUE})\s*({config.OPTION_UNIT})?', 2) AS units FROM opts),
         flat AS (SELECT qid, option, generate_subscripts(nums, 1) - 1 AS pos, unnest(nums) AS num, unnest(units) AS unit FROM found)
         SELECT qid, option, pos::BIGINT AS pos, replace(num, ',', '')::DOUBLE AS value, coalesce(unit, '') AS unit FROM flat WHERE coalesce(unit, '') <> '' OR length(num) > 1""",
     "question_kind": f"""WITH {QUESTIONS}, {KINDS}

@@ -19,6 +19,7 @@ def get_spark(app: str = "paperlode", cores: int | None = None) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(max(8, cores)))
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -32,12 +33,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back, so that lost executors cost no rework.
 
-    The folder is the one that the session names in spark.checkpoint.dir; one of our own is set only where
-    the setting is absent, which is the case in local tests.
+    The folder is the one that the session names in spark.checkpoint.dir; one of our own is set only where the setting
+    is absent and all tasks run in this process, as in tests. On a cluster its absence is an error. Files of the
+    checkpoint go when nothing refers to it any longer, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -177,7 +176,3 @@ def answers_csv(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.filter("qid <> 'summary'").withColumn("_n", F.monotonically_increasing_id())
     w = Window.partitionBy("qid").orderBy(F.desc("_n"))
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("qid", "answer")
-
-
-def unescape(text: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(html.unescape, na_action="ignore"), "string")(text)

@@ -52,6 +52,7 @@ def test_stable_id(spark):
     assert spark.range(1).select(T.stable_id(F.lit("d1"), F.lit("0"), F.lit("0")).alias("i")).first()["i"] == "a9423b16e3c5"
 
 
-def test_environment(monkeypatch):
+def test_settings(monkeypatch, tmp_path):
     monkeypatch.setenv("PL_A", "x")
-    assert config.expand_env({"a": "${PL_A:y}", "b": ["${PL_B:z}"], "c": "no ${PL_A}"}) == {"a": "x", "b": ["z"], "c": "no ${PL_A}"}
+    (tmp_path / "s.yaml").write_text("a: ${PL_A:y}\nb: ['${PL_B:z}', 2]\nc: no ${PL_A}\n", encoding="utf-8")
+    assert config.settings(str(tmp_path / "s.yaml")) == {"a": "x", "b": ["z", 2], "c": "no ${PL_A}"}
