@@ -10,8 +10,10 @@ from paperlode.functions import text as T
 
 
 def one_each(questions: DataFrame) -> DataFrame:
-    """Questions with an id, each once; option keys in upper case."""
-    options = F.map_from_entries(F.transform(F.map_entries("options"), lambda e: F.struct(F.upper(e["key"]), e["value"])))
+    """Questions with an id, each once; option keys in upper case, of equal ones the last."""
+    names = F.transform(F.map_keys("options"), F.upper)
+    last = F.filter(F.map_entries("options"), lambda e, i: F.array_position(F.slice(names, i + 2, F.size(names)), F.upper(e["key"])) == 0)
+    options = F.map_from_entries(F.transform(last, lambda e: F.struct(F.upper(e["key"]), e["value"])))
     return questions.filter("qid IS NOT NULL").dropDuplicates(["qid"]).withColumn("options", F.coalesce(options, F.create_map().cast("map<string,string>")))
 
 

@@ -15,20 +15,54 @@ def json_object(raw: Column) -> Column:
     return F.coalesce(F.try_parse_json(body), F.try_parse_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0)))
 
 
+def truthy(value: Column) -> Column:
+    """Whether a JSON value counts as yes: all but false, null, zero and what is empty. Words do, "false" too."""
+    return F.coalesce(~F.to_json(value).isin("false", "null", "0", "0.0", '""', "[]", "{}"), F.lit(False))
+
+
 def answer_text(value: Column) -> Column:
-    """The answer inside a parsed reply: a string, a list joined, or the value under one of the usual keys."""
-    at = lambda path: F.try_variant_get(value, path, "string")
-    listed = F.try_variant_get(value, "$.answer", "array<string>")
-    return F.coalesce(F.array_join(listed, ""), *[at(f"$.{k}") for k in ("answer", "value", "choice", "choices", "letters")])
+    """The answer inside a parsed reply: a string, a list joined, the value under one of the usual keys, also one level
+    further down, or the letters of an object whose values count as yes."""
+    names = ("answer", "value", "choice", "choices", "letters")
+    at = lambda path: F.coalesce(F.array_join(F.try_variant_get(value, path, "array<string>"), ""), F.when(F.try_variant_get(value, path, "map<string,variant>").isNull(), F.try_variant_get(value, path, "string")))
+
+    def letters(path: str) -> Column:
+        said = F.map_entries(F.try_variant_get(value, path, "map<string,variant>"))
+        said = F.filter(said, lambda e: F.upper(e["key"]).isin("A", "B", "C", "D") & truthy(e["value"]))
+        return F.when(F.size(said) > 0, F.array_join(F.transform(said, lambda e: e["key"]), ""))
+
+    return F.coalesce(at("$.answer"), *[at(f"$.answer.{k}") for k in names], letters("$.answer"), *[at(f"$.{k}") for k in names[1:]], letters("$"))
+
+
+def judged_options(value: Column) -> Column:
+    """array<struct<option, verdict, reason, evidence_ids>> of the options a parsed reply judges, in the order A to D.
+
+    The judgements stand under one of the usual keys, as an object by letter or as a list of objects that name their
+    option; a judgement is a value that counts as yes or no, or an object with verdict, reason and evidence. Of several on
+    one option the last counts: in a list by place, in an object, whose order parsing does not keep, by spelling.
+    """
+    raw = F.coalesce(*[F.when(truthy(x), x) for x in (F.try_variant_get(value, f"$.{k}", "variant") for k in ("option_judgements", "judgements", "opt"))])
+    get = lambda v, kind, *names: F.coalesce(*[F.try_variant_get(v, f"$.{n}", kind) for n in names])
+    by_letter = F.transform(F.map_entries(F.try_variant_get(raw, "$", "map<string,variant>")), lambda e: F.struct(F.upper(e["key"]).alias("option"), e["value"].alias("v")))
+    listed = F.transform(F.try_variant_get(raw, "$", "array<variant>"), lambda v: F.struct(F.upper(get(v, "string", "option", "key", "letter")).alias("option"), v.alias("v")))
+    entries = F.coalesce(by_letter, listed)
+
+    def last(letter: Column) -> Column:
+        v = F.element_at(F.filter(entries, lambda e: e["option"] == letter), -1)["v"]
+        whole = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+        verdict = F.when(whole, truthy(get(v, "variant", "verdict", "v"))).otherwise(truthy(v))
+        return F.struct(
+            letter.alias("option"), verdict.alias("verdict"), F.coalesce(get(v, "string", "reason", "r"), F.lit("")).alias("reason"),
+            F.coalesce(get(v, "array<string>", "evidence_ids", "e"), F.array().cast("array<string>")).alias("evidence_ids"),
+        )
+
+    there = F.filter(F.array(*[F.lit(x) for x in "ABCD"]), lambda x: F.exists(entries, lambda e: e["option"] == x))
+    return F.transform(there, last)
 
 
 def judgements(value: Column) -> Column:
-    """map<letter, boolean> of the options a parsed reply judges, under any of the usual keys."""
-    keys = ("option_judgements", "judgements", "opt")
-    raw = F.coalesce(*[F.try_variant_get(value, f"$.{k}", "map<string,variant>") for k in keys])
-    truth = lambda v: F.coalesce(F.try_variant_get(v, "$.verdict", "boolean"), F.try_variant_get(v, "$.v", "boolean"), F.try_variant_get(v, "$", "boolean"), F.lit(False))
-    both = F.transform_values(raw, lambda _, v: truth(v))
-    return F.map_filter(F.transform_keys(both, lambda k, _: F.upper(k)), lambda k, _: k.isin("A", "B", "C", "D"))
+    """map<letter, boolean> of the options a parsed reply judges; null where it judges none."""
+    return F.map_from_entries(F.transform(judged_options(value), lambda j: F.struct(j["option"], j["verdict"])))
 
 
 def answer_in_text(raw: Column) -> Column:
@@ -90,28 +124,45 @@ def breakdown(rows: DataFrame) -> DataFrame:
     return grouped.select(key.alias("key"), "total", "correct", F.round(F.col("correct") / F.col("total"), 6).alias("accuracy"))
 
 
+def diagnosed(questions: DataFrame, kinds: DataFrame, answers: DataFrame) -> DataFrame:
+    """(qid, domain, form, kind, calc, error, evidence, gold, pred, correct) of every question with its last answer of all
+    runs; a question without one has the fallback and no evidence. kinds is the result of `analysis.classify`."""
+    w = Window.partitionBy("qid").orderBy(F.desc_nulls_last("answered_at"), F.desc("answer_id"), F.desc_nulls_last("ingested_at"))
+    last = answers.filter("qid IS NOT NULL").withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    last = last.select("qid", F.col("answer").alias("_given"), "error", F.size(F.coalesce("used_doc_ids", F.array().cast("array<string>"))).alias("_evidence"))
+    both = questions.join(last, "qid", "left").join(kinds.select("qid", "kind", F.col("requires_calculation").alias("calc")), "qid")
+    none = F.create_map().cast("map<string,boolean>")
+    form = lambda c: normalize_answer(F.coalesce(c, F.lit("")), F.col("answer_format"), F.col("options"), none)
+    gold = F.when(F.col("answer").isNotNull(), form("answer"))
+    rows = both.select("qid", "domain", F.col("answer_format").alias("form"), "kind", "calc", F.when(F.col("error") != "", F.col("error")).alias("error"), F.coalesce("_evidence", F.lit(0)).cast("bigint").alias("evidence"), gold.alias("gold"), form("_given").alias("pred"))
+    return rows.withColumn("correct", (F.col("pred") == F.col("gold")).cast("bigint"))
+
+
 def diagnostics(rows: DataFrame) -> DataFrame:
-    """(key, total, errors, no_evidence, with_gold, correct, error_rate, accuracy) over all, by domain and by kind of
-    question, of rows (domain, kind, error, evidence, gold, correct). Rates are null where nothing counts."""
-    names = rows.select("error", "evidence", "gold", "correct", F.coalesce("domain", F.lit("")).alias("d"), F.coalesce("kind", F.lit("")).alias("k"))
-    count = lambda c: F.count_if(c)
-    grouped = names.groupingSets([[], ["d"], ["k"]], "d", "k").agg(
-        F.count("*").alias("total"), count(F.col("error").isNotNull()).alias("errors"), count(F.col("evidence") == 0).alias("no_evidence"),
-        count(F.col("gold").isNotNull()).alias("with_gold"), count(F.col("correct") == 1).alias("correct"), F.grouping("d").alias("gd"), F.grouping("k").alias("gk"),
+    """(key, total, errors, no_evidence, with_gold, correct, accuracy, error_rate, no_evidence_rate) over all, by domain,
+    answer format, kind of question and whether it calculates, of the rows of `diagnosed`. Rates are null where nothing counts."""
+    names = ("domain", "form", "kind", "calc")
+    shown = rows.select("error", "evidence", "gold", "correct", *[F.coalesce(F.col(n) if n != "calc" else F.when(F.col(n), "True").otherwise("False"), F.lit("")).alias(f"_{n}") for n in names])
+    grouped = shown.groupingSets([[], *[[f"_{n}"] for n in names]], *[f"_{n}" for n in names]).agg(
+        F.count("*").alias("total"), F.count("error").alias("errors"), F.count_if(F.col("evidence") == 0).alias("no_evidence"), F.count("gold").alias("with_gold"),
+        F.count_if(F.col("correct") == 1).alias("correct"), *[F.grouping(f"_{n}").alias(f"g_{n}") for n in names],
     )
-    key = F.when(F.col("gd") == 0, F.concat(F.lit("domain:"), "d")).when(F.col("gk") == 0, F.concat(F.lit("kind:"), "k")).otherwise("overall")
+    key = F.lit("overall")
+    for n, shown_as in zip(names, ("domain", "format", "kind", "calc")):
+        key = F.when(F.col(f"g_{n}") == 0, F.concat(F.lit(f"{shown_as}:"), f"_{n}")).otherwise(key)
     rate = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(b)), 4)
-    return grouped.select(key.alias("key"), "total", "errors", "no_evidence", "with_gold", "correct", rate("errors", "total").alias("error_rate"), rate("correct", "with_gold").alias("accuracy"))
+    return grouped.select(key.alias("key"), "total", "errors", "no_evidence", "with_gold", "correct", rate("correct", "with_gold").alias("accuracy"), rate("errors", "total").alias("error_rate"), rate("no_evidence", "total").alias("no_evidence_rate"))
 
 
-def ledger(answers: DataFrame) -> DataFrame:
-    """(run_id, answers, prompt_tokens, completion_tokens, total_tokens) by run and, with a null run_id, in all.
+def ledger(usage: DataFrame, by: str = "run_id") -> DataFrame:
+    """(by, answers, prompt_tokens, completion_tokens, total_tokens) by run, or by question, and in all with a null in `by`.
 
-    An answer that was delivered again counts once.
+    An answer that was delivered again counts once. A second pass is booked under the id of its question and "#verify",
+    so with by = "qid" it has a row of its own.
     """
-    one = answers.filter("answer_id IS NOT NULL").dropDuplicates(["answer_id"]).filter("run_id IS NOT NULL")
+    one = usage.filter("answer_id IS NOT NULL").dropDuplicates(["answer_id"]).filter(F.col(by).isNotNull())
     use = lambda n: F.sum(F.coalesce(F.col(f"token_usage.{n}"), F.lit(0))).alias(n)
-    return one.rollup("run_id").agg(F.count("*").alias("answers"), use("prompt_tokens"), use("completion_tokens"), use("total_tokens"))
+    return one.rollup(by).agg(F.count("*").alias("answers"), use("prompt_tokens"), use("completion_tokens"), use("total_tokens"))
 
 
 def budget_score(accuracy: Column, tokens: Column) -> Column:
@@ -127,5 +178,6 @@ def run_scores(questions: DataFrame, answers: DataFrame) -> DataFrame:
     pred = normalize_answer(F.coalesce("_answer", F.lit("")), F.col("answer_format"), F.col("options"), F.col("option_judgements"))
     runs = both.groupBy("run_id").agg(F.count("*").alias("answered"), F.avg((pred == F.col("gold")).cast("double")).alias("accuracy"), F.sum(F.coalesce("token_usage.total_tokens", F.lit(0))).alias("tokens"))
     runs = runs.withColumn("score", F.round(budget_score(F.col("accuracy"), F.col("tokens")), 6)).withColumn("accuracy", F.round("accuracy", 6))
-    w = Window.orderBy(F.desc("score"), F.desc("accuracy"), "tokens", "run_id")  # a row for each run
+    # one task, of a row for each run: some 50 bytes times the number of runs, however many answers they hold
+    w = Window.orderBy(F.desc("score"), F.desc("accuracy"), "tokens", "run_id")
     return runs.withColumn("rank", F.row_number().over(w).cast("bigint"))

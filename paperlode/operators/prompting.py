@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlode.functions import text as T
+from paperlode.operators import evaluation as E
 
+JUDGED = "array<struct<option: string, verdict: boolean, reason: string, evidence_ids: array<string>>>"
 #: A client takes prompts and returns replies; the mock stands in where no model is at hand.
 Client = Callable[[list[str]], list[str]]
 
@@ -70,3 +72,31 @@ def second_pass(answer: Column, form: Column, kind: Column, confidence: Column,
     """Whether a first answer should be checked: none given, a form or kind that asks for it, or low confidence."""
     low = (confidence > 0) & (confidence < least)
     return F.coalesce(T.strip(answer) == "", F.lit(True)) | F.coalesce(form.isin(*forms), F.lit(False)) | F.coalesce(kind.isin(*kinds), F.lit(False)) | F.coalesce(low, F.lit(False))
+
+
+def assemble(questions: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """(qid, answer, judgements, raw_model_output, token_usage, confidence, error) of every question with a first reply.
+
+    first and second are replies (qid, raw, prompt_tokens, completion_tokens, total_tokens, error), one for each question
+    at most. A second reply gives answer and confidence, and its judgements where it has any; tokens are added up; the
+    output then holds both. An option that no reply judges is judged by whether it is in the answer.
+    """
+    use = ("prompt_tokens", "completion_tokens", "total_tokens")
+    one = lambda df, n: df.select("qid", F.col("raw").alias(f"raw{n}"), *[F.coalesce(F.col(u), F.lit(0)).alias(f"{u}{n}") for u in use], F.col("error").alias(f"error{n}"), F.lit(True).alias(f"_there{n}"))
+    rows = questions.select("qid", "answer_format", "options").join(one(first, 1), "qid").join(one(second.filter("error IS NULL"), 2), "qid", "left")
+    there = F.coalesce("_there2", F.lit(False))
+    for n in (1, 2):
+        value = E.json_object(F.col(f"raw{n}"))
+        rows = rows.withColumn(f"_v{n}", value).withColumn(f"_j{n}", E.judged_options(F.col(f"_v{n}")))
+    verdicts = lambda j: F.map_from_entries(F.transform(j, lambda x: F.struct(x["option"], x["verdict"])))
+    said = lambda n: F.coalesce(E.answer_text(F.col(f"_v{n}")), F.when(F.col(f"_v{n}").isNull(), E.answer_in_text(F.col(f"raw{n}"))), F.lit(""))
+    final = lambda n: E.normalize_answer(said(n), F.col("answer_format"), F.col("options"), verdicts(F.col(f"_j{n}")))
+    sure = lambda n: F.coalesce(F.try_variant_get(F.col(f"_v{n}"), "$.confidence", "double"), F.lit(0.0))
+    rows = rows.withColumn("answer", F.when(there, final(2)).otherwise(final(1)))
+    judged = F.when(there & (F.size(F.coalesce("_j2", F.array().cast(JUDGED))) > 0), F.col("_j2")).otherwise(F.coalesce("_j1", F.array().cast(JUDGED)))
+    rows = rows.withColumn("_j", judged)
+    missing = F.filter(E.option_keys(F.col("options")), lambda k: ~F.exists("_j", lambda j: j["option"] == k))
+    filled = F.transform(missing, lambda k: F.struct(k.alias("option"), F.contains("answer", k).alias("verdict"), F.lit("fallback/default").alias("reason"), F.array().cast("array<string>").alias("evidence_ids")))
+    both = F.to_json(F.struct(F.col("raw1").alias("first_output"), F.col("raw2").alias("second_output"), F.col("answer").alias("final_answer")))
+    usage = F.struct(*[(F.col(f"{u}1") + F.coalesce(f"{u}2", F.lit(0))).alias(u) for u in use])
+    return rows.select("qid", "answer", F.array_sort(F.concat("_j", filled)).alias("judgements"), F.when(there, both).otherwise(F.col("raw1")).alias("raw_model_output"), usage.alias("token_usage"), F.when(there, sure(2)).otherwise(sure(1)).alias("confidence"), F.col("error1").alias("error"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperlode.functions import text as T
-from paperlode.operators import analysis, calculation, chunking, evaluation, index, packing, retrieval, search
+from paperlode.operators import analysis, calculation, chunking, evaluation, index, packing, prompting, retrieval, search
 from paperlode.session import cut_lineage, read
 
 #: The query set of searches: every row whose id is divisible by this, against all rows.
@@ -121,7 +122,12 @@ def render_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def solve_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calculation.solve(_questions(spark, sf_dir), _evidence(spark, sf_dir))
+    return calculation.solve(_asked(spark, sf_dir), _evidence(spark, sf_dir))
+
+
+def calculation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, evidence = cut_lineage(_asked(spark, sf_dir)), _evidence(spark, sf_dir)
+    return calculation.context(asked, evidence, calculation.solve(asked, evidence))
 
 
 def extract_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +146,6 @@ def question_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def yearly_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change over a year and the share of each year, of orders by priority."""
-    from pyspark.sql.window import Window
-
     year = read(spark, sf_dir, "orders").groupBy("o_orderpriority", F.year("o_orderdate").cast("bigint").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("amount"))
     before = F.lag("amount").over(Window.partitionBy("o_orderpriority").orderBy("year"))
     total = F.sum("amount").over(Window.partitionBy("o_orderpriority"))
@@ -174,20 +178,36 @@ def eval_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("correct = 0").select("qid", F.col("answer").alias("gold"), "pred", "was_missing")
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = _questions(spark, sf_dir)
-    last = evaluation.last_answers(read(spark, sf_dir, "answers")).select("answer_id", "qid", "error", F.col("answer").alias("given"), "option_judgements", F.size(F.coalesce("used_doc_ids", F.array().cast("array<string>"))).alias("evidence"))
-    both = last.join(questions.select("qid", "domain", F.col("answer").alias("gold"), "answer_format", "options"), "qid").join(analysis.classify(questions).select("qid", "kind"), "qid")
-    pred = evaluation.normalize_answer(F.coalesce("given", F.lit("")), F.col("answer_format"), F.col("options"), F.col("option_judgements"))
-    return both.withColumn("correct", F.when(F.col("gold").isNotNull(), (pred == F.col("gold")).cast("bigint")))
+    return evaluation.diagnosed(questions, analysis.classify(questions), read(spark, sf_dir, "answers"))
 
 
 def run_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.diagnostics(_runs(spark, sf_dir))
+    return evaluation.diagnostics(_diagnosed(spark, sf_dir))
 
 
 def suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir).filter("error IS NOT NULL OR evidence = 0 OR correct = 0").select("answer_id", "qid", F.col("error").isNotNull().alias("has_error"), F.col("evidence").cast("bigint").alias("evidence"), "correct")
+    rows = _diagnosed(spark, sf_dir).filter("error IS NOT NULL OR evidence = 0 OR correct = 0")
+    return rows.select("qid", F.col("error").isNotNull().alias("has_error"), "evidence", "gold", "pred", "correct")
+
+
+def question_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.ledger(read(spark, sf_dir, "answers"), "qid")
+
+
+def assemble_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replies to a question in the order in which they came: the first is checked by the second where the policy of
+    the second pass asks for it."""
+    questions = _questions(spark, sf_dir)
+    w = Window.partitionBy("qid").orderBy(F.asc_nulls_last("answered_at"), "answer_id")
+    rows = read(spark, sf_dir, "answers").filter("answer_id IS NOT NULL AND qid IS NOT NULL").dropDuplicates(["answer_id"]).withColumn("_n", F.row_number().over(w)).filter("_n <= 2")
+    rows = rows.select("qid", "_n", F.col("raw_model_output").alias("raw"), "token_usage.*", "error", "answer", "confidence")
+    kinds = analysis.classify(questions).select("qid", "kind").join(questions.select("qid", "answer_format"), "qid")
+    wanted = rows.filter("_n = 1").join(kinds, "qid").filter(prompting.second_pass(F.col("answer"), F.col("answer_format"), F.col("kind"), F.col("confidence"))).select("qid")
+    made = prompting.assemble(questions, rows.filter("_n = 1"), rows.filter("_n = 2").withColumn("error", F.lit(None).cast("string")).join(wanted, "qid", "left_semi"))
+    true = F.array_join(F.transform(F.filter("judgements", lambda j: j["verdict"]), lambda j: j["option"]), "")
+    return made.select("qid", "answer", true.alias("judged_true"), "token_usage.total_tokens", F.round("confidence", 6).alias("confidence"))
 
 
 def token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +221,6 @@ def budget_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     clean_text, doc_meta, page_text, paragraph_blocks, chunk_assemble, keywords, term_stats, corpus_stats, doc_profiles,
     structured_terms, bm25_topk, search_chunks, search_docs, sub_queries, retrieve_full, pack_evidence, render_context,
-    solve_questions, extract_values, option_values, question_kind, yearly_growth, normalize_answers, parse_replies,
-    eval_breakdown, eval_errors, run_diagnostics, suspects, token_ledger, budget_score,
+    solve_questions, calculation_text, extract_values, option_values, question_kind, yearly_growth, normalize_answers, parse_replies,
+    eval_breakdown, eval_errors, run_diagnostics, suspects, token_ledger, question_ledger, assemble_answers, budget_score,
 )}

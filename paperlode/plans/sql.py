@@ -65,6 +65,12 @@ RUNS = f"""{QUESTIONS}, {KINDS},
     runs AS (SELECT last.answer_id, last.run_id, last.qid, last.error, coalesce(len(last.used_doc_ids), 0) AS evidence, kinds.domain, kinds.kind, kinds.answer AS gold,
         coalesce(last.token_usage.total_tokens, 0) AS tokens,
         {_letters("last.answer", "last.option_judgements")} AS pred FROM last JOIN kinds ON last.qid = kinds.qid)"""
+DIAGNOSED = f"""{QUESTIONS}, {KINDS},
+    last AS (SELECT * FROM answers WHERE qid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY answered_at DESC NULLS LAST, answer_id DESC, ingested_at DESC NULLS LAST) = 1),
+    diagnosed AS (SELECT kinds.qid, kinds.domain, kinds.answer_format, kinds.kind, kinds.calc, coalesce(last.error, '') <> '' AS failed, coalesce(len(last.used_doc_ids), 0)::BIGINT AS evidence,
+        CASE WHEN kinds.answer IS NOT NULL THEN {_letters("kinds.answer", "MAP([]::VARCHAR[], []::BOOLEAN[])")} END AS gold,
+        {_letters("last.answer", "MAP([]::VARCHAR[], []::BOOLEAN[])")} AS pred
+        FROM kinds LEFT JOIN last ON kinds.qid = last.qid)"""
 
 
 SQL: dict[str, str] = {
@@ -117,13 +123,16 @@ SQL: dict[str, str] = {
             count(*) AS total, count(*) FILTER (ok) AS correct, round(count(*) FILTER (ok) / count(*), 6) AS accuracy
         FROM keyed GROUP BY GROUPING SETS ((), (d), (f), (t))""",
     "eval_errors": f"WITH {SCORED} SELECT qid, gold, pred, was_missing FROM scored WHERE pred <> gold",
-    "run_diagnostics": f"""WITH {RUNS}, keyed AS (SELECT error, evidence, gold, pred = gold AS ok, coalesce(domain, '') AS d, coalesce(kind, '') AS k FROM runs)
-        SELECT CASE WHEN grouping(d) = 0 THEN 'domain:' || d WHEN grouping(k) = 0 THEN 'kind:' || k ELSE 'overall' END AS key, count(*) AS total, count(error) AS errors,
-            count(*) FILTER (evidence = 0) AS no_evidence, count(gold) AS with_gold, count(*) FILTER (ok) AS correct, round(count(error) / count(*), 4) AS error_rate,
-            CASE WHEN count(gold) > 0 THEN round(count(*) FILTER (ok) / count(gold), 4) END AS accuracy
-        FROM keyed GROUP BY GROUPING SETS ((), (d), (k))""",
-    "suspects": f"""WITH {RUNS} SELECT answer_id, qid, error IS NOT NULL AS has_error, evidence::BIGINT AS evidence, (pred = gold)::BIGINT AS correct
-        FROM runs WHERE error IS NOT NULL OR evidence = 0 OR pred <> gold""",
+    "run_diagnostics": f"""WITH {DIAGNOSED}, keyed AS (SELECT *, pred = gold AS ok, coalesce(domain, '') AS d, coalesce(answer_format, '') AS f, kind AS k, CASE WHEN calc THEN 'True' ELSE 'False' END AS c FROM diagnosed)
+        SELECT CASE WHEN grouping(d) = 0 THEN 'domain:' || d WHEN grouping(f) = 0 THEN 'format:' || f WHEN grouping(k) = 0 THEN 'kind:' || k WHEN grouping(c) = 0 THEN 'calc:' || c ELSE 'overall' END AS key,
+            count(*) AS total, count(*) FILTER (failed) AS errors, count(*) FILTER (evidence = 0) AS no_evidence, count(gold) AS with_gold, count(*) FILTER (ok) AS correct,
+            CASE WHEN count(gold) > 0 THEN round(count(*) FILTER (ok) / count(gold), 4) END AS accuracy, round(count(*) FILTER (failed) / count(*), 4) AS error_rate,
+            round(count(*) FILTER (evidence = 0) / count(*), 4) AS no_evidence_rate
+        FROM keyed GROUP BY GROUPING SETS ((), (d), (f), (k), (c))""",
+    "suspects": f"""WITH {DIAGNOSED} SELECT qid, failed AS has_error, evidence, gold, pred, (pred = gold)::BIGINT AS correct FROM diagnosed WHERE failed OR evidence = 0 OR pred <> gold""",
+    "question_ledger": f"""WITH {ANSWERS} SELECT qid, count(*) AS answers, sum(coalesce(token_usage.prompt_tokens, 0))::BIGINT AS prompt_tokens,
+            sum(coalesce(token_usage.completion_tokens, 0))::BIGINT AS completion_tokens, sum(coalesce(token_usage.total_tokens, 0))::BIGINT AS total_tokens
+        FROM replies WHERE qid IS NOT NULL GROUP BY ROLLUP (qid)""",
     "token_ledger": f"""WITH {ANSWERS} SELECT run_id, count(*) AS answers, sum(coalesce(token_usage.prompt_tokens, 0))::BIGINT AS prompt_tokens,
             sum(coalesce(token_usage.completion_tokens, 0))::BIGINT AS completion_tokens, sum(coalesce(token_usage.total_tokens, 0))::BIGINT AS total_tokens
         FROM replies WHERE run_id IS NOT NULL GROUP BY ROLLUP (run_id)""",

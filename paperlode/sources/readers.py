@@ -8,7 +8,6 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 SUFFIXES = (".pdf", ".txt", ".md", ".json", ".html", ".htm")
 DOCUMENT = "doc_id string, domain string, title string, path string, source_type string, text string, pages array<struct<page: int, text: string, source: string>>, metadata map<string,string>"
@@ -169,10 +168,27 @@ def chunks(spark: SparkSession, path: str, manifest: DataFrame | None = None) ->
 
 
 def answers_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, answer) of an answer file, without its summary; of repeated questions the last line counts."""
-    rows = spark.read.csv(path, header=True)
-    first = rows.columns[0]
-    rows = rows.withColumnRenamed(first, "qid") if first != "qid" else rows
-    rows = rows.filter("qid <> 'summary'").withColumn("_n", F.monotonically_increasing_id())
-    w = Window.partitionBy("qid").orderBy(F.desc("_n"))
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("qid", "answer")
+    """(qid, answer) of an answer file, without its summary; of repeated questions the last line of the last file counts."""
+    rows = spark.read.option("escape", '"').csv(path, header=True)
+    place = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_n")]
+    rows = rows.select(F.col(f"`{rows.columns[0]}`").alias("qid"), F.coalesce("answer", F.lit("")).alias("answer"), *place).filter("qid <> 'summary'")
+    return rows.groupBy("qid").agg(F.max_by("answer", F.struct("_f", "_b", "_n")).alias("answer"))
+
+
+def evidence(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, error, used_doc_ids, evidence_chunks, chunk_ids) of JSON files that hold a list of results; of repeated
+    questions one row with most chunks. Files that hold no list, and entries without a question, give no row."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode_outer(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("r")).filter("r IS NOT NULL")
+    get = lambda name, kind: F.try_variant_get("r", f"$.{name}", kind)
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    ids = F.transform(none(get("evidence_chunks", "array<variant>"), "array<variant>"), lambda c: F.try_variant_get(c, "$.chunk_id", "string"))
+    rows = rows.select(get("qid", "string").alias("qid"), get("error", "string").alias("error"), none(get("used_doc_ids", "array<string>"), "array<string>").alias("used_doc_ids"), ids.alias("chunk_ids")).filter("qid <> ''")
+    rows = rows.withColumn("evidence_chunks", F.size("chunk_ids").cast("bigint"))
+    best = rows.groupBy("qid").agg(F.max_by(F.struct("error", "used_doc_ids", "evidence_chunks", "chunk_ids"), F.struct("evidence_chunks", "chunk_ids")).alias("x"))
+    return best.select("qid", "x.*")
+
+
+def with_metadata(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Chunks of the manifest's documents with what it says of them: title, path, kind and sizes of the document."""
+    meta = manifest.select("doc_id", F.struct(*[F.col(c) for c in manifest.columns if c != "doc_id"]).alias("metadata")).dropDuplicates(["doc_id"])
+    return chunks.join(meta, "doc_id")

@@ -24,17 +24,19 @@ def pending(docs: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
     return docs if force else docs.join(done.filter("error IS NULL").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-def answers(results: DataFrame, path: str) -> None:
-    """The answer file: a summary of the tokens first, then a row for each question in order, with a byte order mark.
+def answers(results: DataFrame, path: str, one_file: bool = False) -> None:
+    """The answer file as CSV: a summary of the tokens first, then a row for each question in order, header with a byte
+    order mark. Nulls are empty texts and zeros, values are quoted where they need it.
 
-    A report of one row for each question is written as one file.
+    Parts are written in the order of their rows, each with its header; one_file joins them, for a report that one task
+    can hold.
     """
     use = ["prompt_tokens", "completion_tokens", "total_tokens"]
-    total = results.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in use]).select(F.lit("summary").alias("qid"), F.lit("").alias("answer"), *use, F.lit(0).alias("_o"))
-    rows = total.unionByName(results.select("qid", "answer", *use, F.lit(1).alias("_o")))
-    lines = rows.select("_o", "qid", F.concat_ws(",", "qid", "answer", *[F.col(c).cast("string") for c in use]).alias("value"))
-    head = results.sparkSession.range(1).select(F.lit(-1).alias("_o"), F.lit("").alias("qid"), F.lit("﻿qid,answer," + ",".join(use)).alias("value"))
-    head.unionByName(lines).coalesce(1).sortWithinPartitions("_o", "qid").select("value").write.mode("overwrite").text(path)
+    total = results.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in use]).select(F.lit("summary").alias("\ufeffqid"), F.lit("").alias("answer"), *use, F.lit(0).alias("_o"))
+    own = results.filter("qid IS NOT NULL").select(F.col("qid").alias("\ufeffqid"), F.coalesce("answer", F.lit("")).alias("answer"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in use], F.lit(1).alias("_o"))
+    rows = total.unionByName(own)
+    rows = rows.coalesce(1).sortWithinPartitions("_o", "\ufeffqid") if one_file else rows.orderBy("_o", "\ufeffqid")
+    rows.drop("_o").write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def markdown(pages: DataFrame, path: str) -> None:

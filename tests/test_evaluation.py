@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperlode.operators import evaluation as E
+from paperlode.operators import prompting
 
 
 @pytest.mark.parametrize(
@@ -34,6 +35,10 @@ def test_normalize(spark, answer, form, options, judged, expected):
         ("no json", None, None),
         (None, None, None),
         ('{"answer": "A", "judgements": {"A": {"verdict": true, "reason": "r"}}}', "A", {"A": True}),
+        ('{"answer": {"A": true, "B": 0, "c": "x"}}', "Ac", None),
+        ('{"answer": {"choice": ["B", "D"]}}', "BD", None),
+        ('{"answer": "B", "judgements": [{"option": "b", "v": true}, {"letter": "A", "verdict": "false"}, {"key": "B", "verdict": 0}, 3]}', "B", {"A": True, "B": False}),
+        ('{"answer": "B", "option_judgements": {}, "opt": {"b": 1, "B": 0, "x": 1}}', "B", {"B": True}),
     ],
 )
 def test_reply_parsing(spark, raw, letters, judged):
@@ -59,3 +64,33 @@ def test_missing_prediction_takes_the_fallback(spark):
     assert row["was_missing"] and row["pred"] == "A" and row["correct"] == 1
     keys = {r["key"]: r["accuracy"] for r in E.breakdown(E.scored(questions, answers)).collect()}
     assert keys == {"overall": 1.0, "domain:d": 1.0, "format:mcq": 1.0, "type:t": 1.0}
+
+
+def test_reasons_and_evidence_of_judgements(spark):
+    raw = '{"judgements": {"A": {"verdict": true, "reason": "r", "evidence_ids": ["E1"]}, "C": {"v": false, "r": "q", "e": ["E2", "E3"]}}}'
+    rows = spark.createDataFrame([(raw,)], "r string").select(E.judged_options(E.json_object(F.col("r"))).alias("j")).first()["j"]
+    assert [tuple(x) for x in rows] == [("A", True, "r", ["E1"]), ("C", False, "q", ["E2", "E3"])]
+
+
+def test_diagnostics_count_unanswered_questions(spark):
+    questions = spark.createDataFrame([("q", "d", {"A": "x", "B": "y"}, "mcq", "t", "B"), ("r", "d", {"A": "x"}, "tf", None, None)], "qid string, domain string, options map<string,string>, answer_format string, type string, answer string")
+    kinds = spark.createDataFrame([("q", "calculation", True), ("r", "judgement", False)], "qid string, kind string, requires_calculation boolean")
+    answers = spark.createDataFrame([(1, "q", "B", "", ["d1"])], "answer_id long, qid string, answer string, error string, used_doc_ids array<string>").selectExpr("*", "current_timestamp() AS answered_at", "current_timestamp() AS ingested_at")
+    got = {r["key"]: (r["total"], r["errors"], r["no_evidence"], r["accuracy"], r["no_evidence_rate"]) for r in E.diagnostics(E.diagnosed(questions, kinds, answers)).collect()}
+    assert got == {"overall": (2, 0, 1, 1.0, 0.5), "domain:d": (2, 0, 1, 1.0, 0.5), "format:mcq": (1, 0, 0, 1.0, 0.0), "format:tf": (1, 0, 1, None, 1.0), "kind:calculation": (1, 0, 0, 1.0, 0.0), "kind:judgement": (1, 0, 1, None, 1.0), "calc:True": (1, 0, 0, 1.0, 0.0), "calc:False": (1, 0, 1, None, 1.0)}
+
+
+def test_ledger_by_question(spark):
+    rows = spark.createDataFrame([(1, "q", "r", (1, 2, 3)), (1, "q", "r", (1, 2, 3)), (2, "q#verify", "r", (4, None, 4)), (3, None, "r", (9, 9, 9))], "answer_id long, qid string, run_id string, token_usage struct<prompt_tokens: long, completion_tokens: long, total_tokens: long>")
+    assert {r["qid"]: (r["answers"], r["total_tokens"]) for r in E.ledger(rows, "qid").collect()} == {"q": (1, 3), "q#verify": (1, 4), None: (2, 7)}
+
+
+def test_assembly_of_two_passes(spark):
+    questions = spark.createDataFrame([("q", "multi", {"A": "x", "B": "y"}), ("r", "mcq", {"A": "x", "B": "y"})], "qid string, answer_format string, options map<string,string>")
+    reply = "qid string, raw string, prompt_tokens long, completion_tokens long, total_tokens long, error string"
+    first = spark.createDataFrame([("q", '{"answer": "A", "judgements": {"A": true}, "confidence": 0.3}', 1, 1, 2, None), ("r", "答案：B", 5, 0, 5, None)], reply)
+    second = spark.createDataFrame([("q", '{"answer": "AB", "confidence": 0.9}', 2, 1, 3, None), ("r", None, 0, 0, 0, "down")], reply)
+    got = {r["qid"]: r for r in prompting.assemble(questions, first, second).collect()}
+    assert got["q"]["answer"] == "AB" and got["q"]["token_usage"]["total_tokens"] == 5 and got["q"]["confidence"] == 0.9 and "second_output" in got["q"]["raw_model_output"]
+    assert [(j["option"], j["verdict"]) for j in got["q"]["judgements"]] == [("A", True), ("B", True)]
+    assert got["r"]["answer"] == "B" and got["r"]["raw_model_output"] == "答案：B" and [j["verdict"] for j in got["r"]["judgements"]] == [False, True]

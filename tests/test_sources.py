@@ -41,10 +41,21 @@ def test_questions_and_answers(spark, tmp_path):
     got = {r["qid"]: r for r in readers.questions(spark, str(tmp_path)).collect()}
     assert got["1"]["options"] == {"A": "x"} and got["1"]["answer_format"] == "multi" and got["2"]["doc_ids"] == ["d"] and got["1"]["answer"] is None
     results = spark.createDataFrame([("q2", "B", 1, 2, 3), ("q1", "A", 10, 20, 30)], "qid string, answer string, prompt_tokens long, completion_tokens long, total_tokens long")
-    writers.answers(results, str(tmp_path / "out"))
+    writers.answers(results, str(tmp_path / "out"), one_file=True)
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert lines[1] == "summary,,11,22,33" and lines[2] == "q1,A,10,20,30" and lines[0].lstrip("﻿").startswith("qid,")
     assert {tuple(r) for r in readers.answers_csv(spark, str(tmp_path / "out")).collect()} == {("q1", "A"), ("q2", "B")}
+    odd = spark.createDataFrame([("q,1", None, None, 2, 3), ("q2", 'say "A"', 1, 1, 1)], results.schema)
+    writers.answers(odd, str(tmp_path / "odd"))
+    assert {tuple(r) for r in readers.answers_csv(spark, str(tmp_path / "odd")).collect()} == {("q,1", ""), ("q2", 'say "A"')}
+
+
+def test_evidence(spark, tmp_path):
+    (tmp_path / "e.json").write_text(json.dumps([{"qid": "1", "evidence_chunks": [{"chunk_id": "c"}], "used_doc_ids": ["d"], "error": None}, {"qid": ""}, {"no": 1}]), encoding="utf-8")
+    (tmp_path / "f.json").write_text("{}", encoding="utf-8")
+    assert [(r["qid"], r["error"], r["evidence_chunks"], r["used_doc_ids"], r["chunk_ids"]) for r in readers.evidence(spark, str(tmp_path)).collect()] == [("1", None, 1, ["d"], ["c"])]
+    chunks, manifest = spark.createDataFrame([("c", "d"), ("x", "e")], "chunk_id string, doc_id string"), spark.createDataFrame([("d", "t", 7)], "doc_id string, title string, char_count long")
+    assert [(r["chunk_id"], r["metadata"]["title"]) for r in readers.with_metadata(chunks, manifest).collect()] == [("c", "t")]
 
 
 def test_manifest_and_pending(spark):
