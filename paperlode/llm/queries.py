@@ -35,11 +35,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replies.templates(replies.cut_lineage(replies.replies(read(spark, sf_dir, "answers"), read(spark, sf_dir, "questions"))))
+    return replies.templates(replies.cut_lineage(replies.replies(read(spark, sf_dir, "answers"), read(spark, sf_dir, "questions"), read(spark, sf_dir, "documents"))))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replies.defects(read(spark, sf_dir, "answers"), read(spark, sf_dir, "questions"))
+    return replies.defects(read(spark, sf_dir, "answers"), read(spark, sf_dir, "questions"), read(spark, sf_dir, "documents"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,9 +24,11 @@ from paperlode.llm.lookalike import LOOKALIKES
 from paperlode.llm.patterns import rx
 from paperlode.session import cut_lineage
 
-SIMILAR, SHINGLE, BANDS, ROWS, OPENING, LEADERS = 0.8, 5, 16, 4, 40, 64
-#: Members of a bucket that are compared with as many others in one piece of work.
-BLOCK = 512
+SIMILAR, SHINGLE, BANDS, ROWS, OPENING = 0.8, 5, 16, 4, 40
+#: Texts of a bucket that all its texts are compared with; what they leave apart is joined by rare shingles, whatever its size.
+LEADERS = 4
+#: Language profiles are fitted on at most about so many documents, taken by a hash of their id, and so many characters of each.
+PROFILE_DOCS, PROFILE_CHARS = 6_000, 4_000
 #: A class is a template of refusal from so many questions on, with at most this share of answered replies.
 MIN_PROMPTS, MOST_ANSWERED = 2, 0.05
 #: Words of hollow frames, in lower case.
@@ -36,12 +39,97 @@ _FOLD = str.maketrans(LOOKALIKES)
 _ANSWER = regex.compile(r"(?<![A-Za-z&./])(?:[A-D](?:\s*[,、，和&]\s*)?){1,4}(?![A-Za-z&])")
 _ECHO = regex.compile(r"[“\"「『](.+?)[”\"」』]", regex.S)
 _FENCE = regex.compile(r"^\s*```[a-zA-Z]*\s*|\s*```\s*$")
-_LATIN_WORDS = {
-    "en": set("the of and is are to that which with for this with not option case".split()),
-    "de": set("der die das und ist nicht mit den von ein eine wird laut".split()),
-    "fr": set("le la les des et est une que dans pas avec pour selon".split()),
-    "es": set("el la los las es una que del con por según para no".split()),
-}
+#: Scripts by the code points at which they begin, for telling what a text is written in.
+_SCRIPTS = [(0, ""), (0x41, "latin"), (0x5B, ""), (0x61, "latin"), (0x7B, ""), (0xC0, "latin"), (0x250, ""), (0x400, "ru"), (0x530, ""), (0x600, "ar"), (0x700, ""), (0x900, "hi"), (0x980, ""), (0xE00, "th"), (0xE80, ""), (0x1100, "ko"), (0x1200, ""), (0x1E00, "latin"), (0x1F00, ""), (0x3041, "kana"), (0x3100, ""), (0x3400, "zh"), (0xA000, ""), (0xAC00, "ko"), (0xD7B0, ""), (0xF900, "zh"), (0xFB00, ""), (0x20000, "zh"), (0x40000, "")]
+_STARTS = np.array([at for at, _ in _SCRIPTS], dtype=np.uint32)
+_KINDS = sorted({name for _, name in _SCRIPTS})
+_KIND = np.array([_KINDS.index(name) for _, name in _SCRIPTS])
+#: How many letters of a script say as much as one Han character.
+_LETTERS = {"zh": 1, "kana": 1, "ko": 1, "ru": 3, "ar": 2, "hi": 2, "th": 2, "latin": 4}
+#: Three-letter names of languages whose short name does not begin alike, by their short name.
+_NAMES = {"ger": "de", "deu": "de", "spa": "es", "chi": "zh", "cmn": "zh", "zho": "zh", "jpn": "ja", "swe": "sv", "por": "pt", "dut": "nl", "nld": "nl", "pol": "pl"}
+#: Beginnings of the names for no language, several languages and undetermined ones.
+UNDETERMINED = ("un", "mu", "zx", "mi", "")
+#: Log likelihoods must differ by so much before a Latin text counts as of one language.
+MARGIN = 3.0
+
+
+class Profiles:
+    """Letter 3-gram statistics of the languages that are written in Latin letters."""
+
+    def __init__(self, counts: dict[str, dict[str, int]]):
+        self.names = sorted(counts)
+        grams = {g: k for k, g in enumerate(sorted({g for c in counts.values() for g in c}))}
+        table = np.full((len(grams) + 1, len(self.names)), 0.5)
+        for j, name in enumerate(self.names):
+            for g, n in counts[name].items():
+                table[grams[g], j] += n
+        self.grams, self.logs = grams, np.log(table / table.sum(axis=0)) if self.names else table
+
+    def scores(self, text: str) -> np.ndarray | None:
+        found = [self.grams.get(g, -1) for g in grams_of(text)]
+        return self.logs[found].sum(axis=0) if found and self.names else None
+
+    def language(self, text: str) -> str:
+        """The likeliest language, or `latin` where none is told or two are too near."""
+        score = self.scores(text)
+        if score is None:
+            return "latin"
+        best = int(score.argmax())
+        others = np.delete(score, best)
+        return self.names[best] if not len(others) or score[best] - others.max() >= MARGIN else "latin"
+
+    def speaks_against(self, text: str, want: str) -> bool:
+        """Whether another profile fits clearly better than that of a language, whichever it is: a language without a
+        profile is told from the wanted one by its neighbour that has one."""
+        score = self.scores(text)
+        return score is not None and want in self.names and score.max() - score[self.names.index(want)] >= MARGIN
+
+
+def grams_of(text: str) -> list[str]:
+    out = []
+    for word in rx(r"\p{Latin}+").findall(text.lower()):
+        padded = f" {word} "
+        out += [padded[i : i + 3] for i in range(len(padded) - 2)]
+    return out
+
+
+def language_name(name: str) -> str:
+    """The short name of a language, however it is spelt: en for EN, en-GB and eng."""
+    short = regex.split(r"[-_]", name.strip().lower())[0]
+    return _NAMES.get(short, short[:2])
+
+
+def profiles(documents: DataFrame | None, most: int = PROFILE_DOCS) -> Profiles:
+    """Profiles of the languages that documents (doc_id, lang, text) name, fitted on a bounded sample of them. Wrong
+    names are few and drown. Without documents Latin languages are not told apart."""
+    if documents is None:
+        return Profiles({})
+    rows = documents.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.substring("text", 1, PROFILE_CHARS).alias("text"))
+    n = rows.count()
+    if n > most:
+        rows = rows.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < int(most / n * 2**63))
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[str, str], int] = {}
+        for part in parts:
+            for lang, text in zip(part["lang"], part["text"]):
+                name = language_name(lang)
+                written = "" if script_of(text) == "latin" else "other"
+                sums[name, written] = sums.get((name, written), 0) + 1
+                if not written:
+                    for g in grams_of(unmixed(unicodedata.normalize("NFKC", text))):
+                        sums[name, g] = sums.get((name, g), 0) + 1
+        yield pd.DataFrame([(name, g, n) for (name, g), n in sums.items()], columns=["lang", "gram", "n"])
+
+    sums = rows.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
+    counts: dict[str, dict[str, int]] = {}
+    for lang, gram, n in sums:
+        counts.setdefault(lang, {})[gram] = n
+    # how many texts of a name are in Latin letters, and how many are not; a name that stands mostly on others, or for
+    # no language in particular, has no profile
+    texts = {lang: (c.pop("", 0), c.pop("other", 0)) for lang, c in counts.items()}
+    return Profiles({lang: c for lang, c in counts.items() if lang not in UNDETERMINED and texts[lang][0] > texts[lang][1]})
 
 
 def fold(text: str) -> str:
@@ -61,30 +149,39 @@ def unmixed(text: str) -> str:
     return mixed.sub(lambda m: m[0].translate(_FOLD), text)
 
 
-def language(text: str) -> str:
-    """The language of a text by its script, among Latin ones by frequent words; empty where nothing tells."""
-    text = unmixed(rx(r"\p{Cf}").sub("", text))
-    text = rx(r"[“「『«\"][^”」』»\"]{0,80}[”」』»\"]|《[^》]*》").sub(" ", unicodedata.normalize("NFKC", text))
-    counts = {
-        "kana": len(rx(r"[\p{Hiragana}\p{Katakana}]").findall(text)),
-        "zh": len(rx(r"\p{Han}").findall(text)),
-        "ko": len(rx(r"\p{Hangul}").findall(text)),
-        "ru": len(rx(r"\p{Cyrillic}").findall(text)) / 3,
-        "th": len(rx(r"\p{Thai}").findall(text)) / 2,
-        "ar": len(rx(r"\p{Arabic}").findall(text)) / 2,
-        "hi": len(rx(r"\p{Devanagari}").findall(text)) / 2,
-        "latin": len(rx(r"\p{Latin}{2,}").findall(text)) * 1.5,
-    }
-    if max(counts.values()) < 3:
-        return ""
-    if counts["kana"] * 5 >= counts["zh"] and counts["kana"] >= 3:
+def script_of(text: str) -> str:
+    """The script most of a text is written in; empty where fewer than three characters' worth tell."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    sums = np.bincount(_KIND[np.searchsorted(_STARTS, points, "right") - 1], minlength=len(_KINDS))
+    counts = {name: sums[k] / _LETTERS[name] for k, name in enumerate(_KINDS) if name}
+    if counts["kana"] >= 3 and counts["kana"] * 5 >= counts["zh"]:
         return "ja"
     best = max(counts, key=counts.get)
-    if best != "latin":
-        return best
-    words = rx(r"\p{Latin}+").findall(text.translate(_FOLD).lower())
-    score = {name: sum(w in known for w in words) for name, known in _LATIN_WORDS.items()}
-    return max(score, key=score.get) if max(score.values()) else "en"
+    return best if counts[best] >= (1 if best == "latin" else 3) else ""
+
+
+def bare(text: str) -> str:
+    """A text without invisible characters, quotations and titles, words of mixed scripts in Latin letters."""
+    text = unicodedata.normalize("NFKC", rx(r"\p{Cf}").sub("", text))
+    return unmixed(rx(r"[“「『«\"][^”」』»\"]{0,80}[”」』»\"]|《[^》]*》").sub(" ", text))
+
+
+def language(text: str, known: Profiles) -> str:
+    """The language of a text by its script, among Latin ones by their profiles; empty where nothing tells."""
+    text = bare(text)
+    script = script_of(text)
+    return known.language(text) if script == "latin" else "zh" if script == "kana" else script
+
+
+def foreign(text: str, want: str, known: Profiles) -> bool:
+    """Whether a text is in another language than the wanted one; false where nothing tells."""
+    text = bare(text)
+    script = script_of(text)
+    if not want or not script:
+        return False
+    if script != "latin":
+        return want != ("zh" if script == "kana" else script)
+    return known.speaks_against(text, want) if want == "latin" or want in known.names else want in ("zh", "ja", "ko", "ru", "ar", "hi", "th")
 
 
 def leaves(value: object) -> list[str]:
@@ -173,41 +270,48 @@ def masked(opening: str, question: str | None) -> str:
     return " ".join(w for i, w in enumerate(kept) if w != "#" or i == 0 or kept[i - 1] != "#")
 
 
-def expected_language(question: str | None) -> str:
+def expected_language(question: str | None, known: Profiles) -> str:
     plain = rx(r"\p{Cf}").sub("", unicodedata.normalize("NFKC", question or "")).translate(_FOLD).lower()
     plain = rx(r"\s+").sub(" ", plain)
     for name, how in ASKED.items():
         if regex.search(how, plain):
             return name
-    return language(question or "")
+    return language(question or "", known)
+
 
+def words_of(question: str | None) -> str:
+    """The words and Han characters of a question, in one case, width and look."""
+    return " ".join(rx(r"\p{Han}|[\p{L}\p{N}]+").findall(unicodedata.normalize("NFKC", question or "").translate(_FOLD).casefold()))
 
-def replies(answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """(answer_id, qid, prompt, shape, answered, opening, other_language) of every reply, once for each answer_id.
+
+def replies(answers: DataFrame, questions: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(answer_id, qid, prompt, asked, shape, answered, opening, other_language) of every reply, once for each answer_id.
 
     prompt is the same for questions that are one in letters and digits, whatever their ids; a question without any is
-    told by its id.
+    told by its id. asked are the words of the question. documents (doc_id, lang, text) are what languages in Latin
+    letters are learned from.
     A null reply is empty; a reply to an unknown question is checked without it. Re-delivered answers and repeated
     questions count once.
     """
     q = questions.filter("qid IS NOT NULL").select("qid", "question", F.map_values("options").alias("options")).groupBy("qid").agg(F.first("question", True).alias("question"), F.first("options", True).alias("options"))
     a = answers.filter("answer_id IS NOT NULL").select("answer_id", "qid", "raw_model_output")
+    shared = answers.sparkSession.sparkContext.broadcast(profiles(documents))
 
     @F.pandas_udf("asked string, shape string, answered boolean, opening string, other_language boolean")
     def look(raw: pd.Series, question: pd.Series, options: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, known = [], shared.value
         for r, q, o in zip(raw, question, options):
             x = taken_apart(r, q, [] if o is None else [v for v in o if v])
-            want, have = expected_language(q), language(x["reasons"]) if len(fold(x["reasons"])) >= 8 else ""
-            rows.append((fold(q or ""), x["shape"], x["answered"], masked(x["opening"], q), bool(want and have and want != have)))
+            other = len(x["reasons"]) >= 8 and len(fold(x["reasons"])) >= 8 and foreign(x["reasons"], expected_language(q, known), known)
+            rows.append((words_of(q), x["shape"], x["answered"], masked(x["opening"], q) if x["opening"] else "", other))
         return pd.DataFrame(rows, columns=["asked", "shape", "answered", "opening", "other_language"])
 
     both = a.join(q, "qid", "left")
     # by the key that is made unique below, and in a given number of parts, as few bytes hold much work for Python
     both = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), "answer_id")
     both = both.select("answer_id", "qid", look("raw_model_output", "question", "options").alias("x"))
-    asked = F.when(F.col("x.asked") != "", F.md5(F.col("x.asked").cast("binary"))).otherwise(F.concat(F.lit("qid "), "qid"))
-    return both.select("answer_id", "qid", asked.alias("prompt"), "x.shape", "x.answered", "x.opening", "x.other_language").dropDuplicates(["answer_id"])
+    asked = F.when(F.col("x.asked") != "", F.md5(F.replace("x.asked", F.lit(" "), F.lit("")).cast("binary"))).otherwise(F.concat(F.lit("qid "), "qid"))
+    return both.select("answer_id", "qid", asked.alias("prompt"), "x.asked", "x.shape", "x.answered", "x.opening", "x.other_language").dropDuplicates(["answer_id"])
 
 
 def signed(texts: DataFrame) -> DataFrame:
@@ -234,39 +338,36 @@ def signed(texts: DataFrame) -> DataFrame:
 def classes(texts: DataFrame) -> DataFrame:
     """(id, class_id) of distinct texts (id, text) by word shingles of five and a verified similarity of 0.8.
 
-    In each bucket the texts are compared with its first LEADERS texts, so a bucket of no more than these is
-    compared in full. In a larger one, texts that are similar to a leader are settled and the others elect the next
-    leaders, until none is left. Links are then followed to the smallest id. Texts of a larger bucket that are in
-    different classes after that are compared with each other, as similarity is not transitive, block by block, so
-    that no bucket is the work of one task; pairs that already share a class could add nothing.
+    MinHash first: in each bucket the texts are compared with its first LEADERS texts, which settles most of them. What
+    is still in different classes is then joined by its rarest shingles: two sets that are similar share one of the
+    first n - ceil(0.8 n) + 1 of their n shingles in any one order of all shingles, so no link between classes is
+    lost, and pairs within a class are not made at all. Both steps verify each pair; classes are what the links connect.
     """
     s = cut_lineage(signed(texts))
-    every = members = s.select("id", F.explode("bands").alias("bucket"))
-    links = None
-    while True:
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-        leaders = members.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).select("bucket", F.col("id").alias("leader"))
-        led = members.join(leaders, "bucket").filter("id > leader")
-        good = similar(led.select("id", "leader").distinct(), s)
-        links = good if links is None else links.unionByName(good)
-        settled = led.join(good, ["id", "leader"], "left_semi").select("bucket", "id").unionByName(leaders.select("bucket", F.col("leader").alias("id")))
-        members = cut_lineage(members.join(settled, ["bucket", "id"], "left_anti"))
-        if members.isEmpty():
-            break
+    members = s.select("id", F.explode("bands").alias("bucket"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+    leaders = members.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).select("bucket", F.col("id").alias("leader"))
+    links = similar(members.join(leaders, "bucket").filter("id > leader").select("id", "leader").distinct(), s)
     labels = followed(links, s)
-    large = every.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > LEADERS)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = every.join(large, "bucket").join(labels, "id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = cut_lineage(placed.select("bucket", "id", "class_id", "block", "blocks"))
-    if placed.isEmpty():
-        return labels
-    left = placed.select("bucket", F.col("block").alias("row"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("col"), "id", "class_id")
-    right = placed.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("row"), F.col("block").alias("col"), F.col("id").alias("leader"), F.col("class_id").alias("_class"))
-    apart = left.join(right, ["bucket", "row", "col"]).filter("id > leader AND class_id <> _class").select("id", "leader").distinct()
-    across = similar(apart, s)
+    across = similar(rare_pairs(s, labels), s)
     return labels if across.isEmpty() else followed(links.unionByName(across), s)
 
 
+def rare_pairs(s: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, leader) of texts in different classes that share one of their rarest shingles and are of like size."""
+    rows = s.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    ranked = rows.join(often.filter("often > 1"), "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    order = Window.partitionBy("id").orderBy("often", "shingle")
+    first = F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9) + 1
+    # a shingle that no other text has takes its place in the order, but meets nobody
+    heads = ranked.withColumn("_r", F.row_number().over(order)).filter((F.col("_r") <= first) & (F.col("often") > 1))
+    heads = cut_lineage(heads.join(labels, "id").select("shingle", "id", "n", "class_id"))
+    other = heads.select("shingle", F.col("id").alias("leader"), F.col("n").alias("_n"), F.col("class_id").alias("_class"))
+    near = heads.join(other, "shingle").filter("id > leader AND class_id <> _class").filter((F.col("n") >= SIMILAR * F.col("_n")) & (F.col("_n") >= SIMILAR * F.col("n")))
+    return near.select("id", "leader").distinct()
+
+
 def similar(pairs: DataFrame, s: DataFrame) -> DataFrame:
     """Those of the pairs (id, leader) whose shingles are verified to be similar."""
     pairs = pairs.join(s.select("id", "shingles"), "id").join(s.select(F.col("id").alias("leader"), F.col("shingles").alias("other")), "leader")
@@ -276,34 +377,44 @@ def similar(pairs: DataFrame, s: DataFrame) -> DataFrame:
 
 
 def followed(links: DataFrame, s: DataFrame) -> DataFrame:
-    """(id, class_id): the smallest id that the links (id, leader) lead to from each id."""
+    """(id, class_id): the smallest id that the links (id, leader) lead to from each id. Each round looks at the
+    neighbours and then at the class of the class, so that chains shorten by half."""
     links = cut_lineage(links.select("id", F.col("leader").alias("to")).unionByName(links.select(F.col("leader").alias("id"), F.col("id").alias("to"))).distinct())
-    labels = s.select("id", F.col("id").alias("class_id"))
+    labels = links.groupBy("id").agg(F.least("id", F.min("to")).alias("class_id"))
     while True:
+        of_class = labels.select(F.col("id").alias("class_id"), F.col("class_id").alias("_next"))
         near = links.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("class_id").alias("lower"))
-        new = cut_lineage(labels.join(near, "id", "left").select("id", F.least("class_id", "lower").alias("class_id"), (F.col("lower") < F.col("class_id")).alias("moved")))
-        if new.filter("moved").isEmpty():
-            return new.select("id", "class_id")
+        new = labels.join(near, "id").join(of_class, "class_id").select("id", F.least("class_id", "lower", "_next").alias("class_id"), (F.least("lower", "_next") < F.col("class_id")).alias("moved"))
+        new = cut_lineage(new)
         labels = new.select("id", "class_id")
+        if new.filter("moved").isEmpty():
+            return s.select("id").join(labels, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 
 
 def templates(parsed: DataFrame) -> DataFrame:
     """(opening, class_id, prompts, replies, answered, refusal) of all openings of whole replies.
 
     Openings are grouped before anything is compared, so a template that a third of all replies share is one row.
-    prompts are the different questions of a class; several replies to one question, or to copies of it, are one.
+    prompts are the different questions of a class; several replies to one question, or to copies of it, are one. Of
+    classes without answers, questions that are rewordings of each other (five-word shingles, 0.8) are one as well,
+    so that only unrelated prompts make a template of refusal.
     """
     whole = parsed.filter("shape = 'plain' AND opening <> ''")
     openings = whole.groupBy("opening").agg(F.count("*").alias("replies"), F.sum(F.col("answered").cast("int")).alias("answered"))
     openings = cut_lineage(openings.withColumn("id", F.xxhash64("opening")))
     of = cut_lineage(classes(openings.select("id", F.col("opening").alias("text"))).join(openings, "id"))
-    asked = whole.select("opening", "prompt").distinct().join(of.select("opening", "class_id"), "opening").groupBy("class_id").agg(F.countDistinct("prompt").alias("prompts"))
-    total = of.groupBy("class_id").agg(F.sum("replies").alias("replies"), F.sum("answered").alias("answered")).join(asked, "class_id")
-    refusal = (F.col("prompts") >= MIN_PROMPTS) & (F.col("answered") <= MOST_ANSWERED * F.col("replies"))
-    return of.select("opening", "class_id").join(total.withColumn("refusal", refusal), "class_id")
-
-
-def defects(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    asked = cut_lineage(whole.select("opening", "prompt", "asked").join(of.select("opening", "class_id"), "opening").groupBy("class_id", "prompt").agg(F.min("asked").alias("asked")))
+    total = of.groupBy("class_id").agg(F.sum("replies").alias("replies"), F.sum("answered").alias("answered")).join(asked.groupBy("class_id").agg(F.count("*").alias("prompts")), "class_id")
+    total = cut_lineage(total)
+    may = F.col("answered") <= MOST_ANSWERED * F.col("replies")
+    doubtful = asked.join(total.filter(may & (F.col("prompts") >= MIN_PROMPTS)).select("class_id"), "class_id", "left_semi").withColumn("id", F.xxhash64("prompt"))
+    kinds = classes(doubtful.groupBy("id").agg(F.min("asked").alias("text"))).withColumnRenamed("class_id", "_kind")
+    unrelated = cut_lineage(doubtful.join(kinds, "id").groupBy("class_id").agg(F.countDistinct("_kind").alias("_kinds")))
+    total = total.join(unrelated, "class_id", "left").withColumn("prompts", F.coalesce("_kinds", "prompts")).drop("_kinds")
+    return of.select("opening", "class_id").join(total.withColumn("refusal", may & (F.col("prompts") >= MIN_PROMPTS)), "class_id")
+
+
+def defects(answers: DataFrame, questions: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """(answer_id, defect) of the defective replies, at most one defect each.
 
     empty, truncated and copy follow from the reply's form; a whole reply without an answer is a refusal if its
@@ -311,7 +422,7 @@ def defects(answers: DataFrame, questions: DataFrame) -> DataFrame:
     than the question's, or than it asks for, are wrong_language. Null and empty replies are empty; empty tables
     give no row.
     """
-    parsed = cut_lineage(replies(answers, questions))
+    parsed = cut_lineage(replies(answers, questions, documents))
     found = parsed.join(templates(parsed).select("opening", "refusal"), "opening", "left")
     unanswered = ~F.col("answered") & (F.col("shape") == "plain")
     defect = (

@@ -21,10 +21,54 @@ def test_shapes(raw, shape, answered):
     assert got["shape"] == shape and (shape == "truncated" or got["answered"] == answered)
 
 
+TEXTS = {
+    "en": "The board approved the annual budget and the auditors raised no objection to the figures. The company will publish its report in the spring, and the change was within the range that the directors had named. Investors asked about the dividend which the management wants to keep as it is.",
+    "de": "Der Vorstand hat den Haushalt genehmigt und die Prüfer haben keine Einwände gegen die Zahlen erhoben. Die Gesellschaft wird ihren Bericht im Frühjahr veröffentlichen, und die Änderung lag in dem Rahmen, den die Leitung genannt hatte.",
+    "fr": "Le conseil a approuvé le budget annuel et les auditeurs n’ont soulevé aucune objection sur les chiffres. La société publiera son rapport au printemps, et la variation restait dans la fourchette que la direction avait indiquée.",
+    "es": "El consejo aprobó el presupuesto anual y los auditores no plantearon ninguna objeción sobre las cifras. La sociedad publicará su informe en la primavera, y la variación quedó dentro del margen que la dirección había indicado.",
+    "pt": "O conselho aprovou o orçamento anual e os auditores não levantaram nenhuma objeção sobre os números. A sociedade publicará o seu relatório na primavera, e a variação ficou dentro da margem que a direção tinha indicado.",
+    "it": "Il consiglio ha approvato il bilancio annuale e i revisori non hanno sollevato alcuna obiezione sulle cifre. La società pubblicherà la sua relazione in primavera, e la variazione è rimasta nel margine che la direzione aveva indicato.",
+    "nl": "Het bestuur heeft de jaarlijkse begroting goedgekeurd en de accountants hadden geen bezwaar tegen de cijfers. De vennootschap zal haar verslag in het voorjaar publiceren, en de verandering bleef binnen de marge die de leiding had genoemd.",
+    "vi": "Hội đồng đã phê duyệt ngân sách hàng năm và các kiểm toán viên không có ý kiến phản đối về các số liệu. Công ty sẽ công bố báo cáo vào mùa xuân, và thay đổi nằm trong phạm vi mà ban giám đốc đã nêu.",
+}
+REPLIES = {
+    "en": "The figures of the report support the first statement, and the others are not named in the text.", "de": "Die Zahlen des Berichts stützen die erste Aussage, die anderen werden im Text nicht genannt.",
+    "fr": "Les chiffres du rapport confirment la première affirmation, les autres ne figurent pas dans le texte.", "es": "Las cifras del informe confirman la primera afirmación, las otras no figuran en el texto.",
+    "pt": "Os números do relatório confirmam a primeira afirmação, as outras não constam do texto.", "it": "Le cifre della relazione confermano la prima affermazione, le altre non figurano nel testo.",
+    "nl": "De cijfers van het verslag bevestigen de eerste bewering, de andere worden in de tekst niet genoemd.", "vi": "Các số liệu của báo cáo xác nhận nhận định thứ nhất, các nhận định khác không có trong văn bản.",
+}
+
+
+def counts(*names):
+    out = {}
+    for name in names:
+        for g in R.grams_of(TEXTS[name]):
+            out.setdefault(name, {})[g] = out.get(name, {}).get(g, 0) + 1
+    return out
+
+
 def test_languages():
-    assert R.language("证据显示该指标为三亿元，与选项一致") == "zh" and R.language("The change was within the range named") == "en" and R.language("条項には書面による通知が必要と明記") == "ja"
-    assert R.language("Договор требует уведомления") == "ru" and R.language("A") == "" and R.expected_language(Q + "请用英文说明理由。") == "en"
-    assert R.expected_language("How many? Please give the reasons in Chinese.") == "zh" and R.language("Thе сlause rеquires nоtice of the case") == "en"
+    none, known = R.Profiles({}), R.Profiles(counts(*TEXTS))
+    assert R.language("证据显示该指标为三亿元，与选项一致", none) == "zh" and R.language("条項には書面による通知が必要と明記", none) == "ja"
+    assert R.language("Договор требует уведомления", none) == "ru" and R.language("A", none) == "" and R.expected_language(Q + "请用英文说明理由。", none) == "en"
+    assert R.expected_language("How many? Please give the reasons in Chinese.", none) == "zh"
+    assert {name: R.language(text, known) for name, text in REPLIES.items()} == {name: name for name in REPLIES}
+    assert R.language("Thе сlause rеquires nоtice of the case that the directors named", known) == "en"
+    assert not R.foreign(REPLIES["de"], "en", none) and R.foreign(REPLIES["de"], "zh", none) and not R.foreign("12", "en", known) and not R.foreign(REPLIES["de"], "", known)
+    assert {(a, b) for a in REPLIES for b in REPLIES if R.foreign(REPLIES[a], b, known)} == {(a, b) for a in REPLIES for b in REPLIES if a != b}
+
+
+def test_languages_without_a_profile_are_still_others():
+    """A reply in a language that no document is written in is not taken for English."""
+    known = R.Profiles(counts("en", "de", "fr", "es"))
+    assert all(R.foreign(REPLIES[name], "en", known) for name in ("pt", "it", "nl", "vi")) and not R.foreign(REPLIES["en"], "en", known)
+
+
+def test_profiles_of_documents(spark):
+    rows = [(i, spelt, TEXTS.get(name)) for i, (spelt, name) in enumerate([("EN", "en"), ("en-GB", "en"), ("eng", "en"), ("DE", "de"), ("ger", "de"), ("fr", "fr"), (None, "fr"), ("de", "")])]
+    known = R.profiles(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert known.names == ["de", "en", "fr"] and known.language(REPLIES["de"]) == "de"
+    assert R.profiles(spark.createDataFrame([], "doc_id long, lang string, text string")).names == []
 
 
 ANSWER = "answer_id long, qid string, raw_model_output string, defect string"
@@ -59,15 +103,44 @@ def test_classes_against_all_pairs(spark):
     assert got == {i: root(i) for i in range(len(texts))}
 
 
-def test_links_between_settled_texts(spark, monkeypatch):
-    """Texts that are similar to different leaders of one bucket, and to each other, are one class."""
-    signed, words = R.signed, [f"w{i}" for i in range(60)]
-    monkeypatch.setattr(R, "LEADERS", 1)
-    monkeypatch.setattr(R, "BLOCK", 2)
+def connected(texts):
+    """Classes by comparing all pairs."""
+    shingles = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: root(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("leaders", [1, 4])
+def test_large_bucket_against_all_pairs(spark, monkeypatch, leaders):
+    """500 near texts in one bucket: chains that lead away from every leader stay whole, strangers stay apart."""
+    signed, words = R.signed, [f"w{i}" for i in range(400)]
+    monkeypatch.setattr(R, "LEADERS", leaders)
     monkeypatch.setattr(R, "signed", lambda texts: signed(texts).withColumn("bands", F.array(F.lit(1).cast("long"))))
-    texts = [" ".join(words[4 * i : 4 * i + 40]) for i in range(6)] + ["quite another text that has nothing in common"]
+    texts = [" ".join(words[3 * i : 3 * i + 40]) for i in range(120)] + [" ".join([*words[:20], f"x{i}", *words[21:40]]) for i in range(180)]
+    texts += [" ".join(f"s{i}_{k}" if k % 7 == i % 7 else f"c{k}" for k in range(36)) for i in range(200)]
+    texts = list(dict.fromkeys(texts))
     got = dict(map(tuple, R.classes(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()))
-    assert got == {**dict.fromkeys(range(6), 0), 6: 6}
+    assert got == connected(texts)
+
+
+def test_rewordings_are_one_prompt(spark):
+    """A class whose replies answer near-copies of one question is no template; unrelated questions make one."""
+    base = [f"word{i}" for i in range(30)]
+    ask = [" ".join(base), " ".join([*base, "please"]), "Who signed the lease of the new office?"]
+    rows = [(i, f"q{i}", "Sadly nothing can be said on that.", "") for i in range(3)]
+    said = lambda n: {r["refusal"] for r in R.templates(R.cut_lineage(R.replies(spark.createDataFrame(rows[:n], ANSWER), spark.createDataFrame([(f"q{i}", q, None) for i, q in enumerate(ask)], QUESTION)))).collect()}
+    assert said(2) == {False} and said(3) == {True}
 
 
 def test_one_question_makes_no_template(spark):
