@@ -17,14 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperlode.session import spread
+from paperlode.session import cut_lineage, spread
 
 MIN_WORDS, MIN_CHARS = 12, 24
 #: The masks. Each span is at most the shortest run that counts, so no such run can be missed.
 MASKS = ("110110011010110110011011", "101011011100101101110101")
-#: Up to so many hashes of test items, the documents' hashes are sieved by them before they leave the task; above,
-#: all hashes of the documents are joined. Both ways give the same rows.
-SIEVE_MOST = 20_000_000
+#: Up to so many hash rows and characters of test items (under 100 MB in all) these are sent to every task, and the
+#: documents' hashes are sieved by them before they leave it; above, all hashes of the documents are joined. Both ways
+#: give the same rows.
+SIEVE_MOST, TEXT_MOST = 2_000_000, 20_000_000
+#: Characters of documents that are hashed together.
+TOGETHER = 1_000_000
 SENTENCE_END = r"(?<=[。！？])|(?<=[.!?][\s])"
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -84,59 +87,76 @@ def item_segments(items: DataFrame) -> DataFrame:
     return segments.select("item_id", F.col("seg").cast("int"), fold("text").alias("chars"), F.when(~by_chars, ends("text")).alias("ends"))
 
 
-def masks_for(segments: DataFrame) -> list[str]:
-    """The masks, cut to the shortest run of words that counts in these items, which the driver learns as one number."""
+def with_span(segments: DataFrame) -> DataFrame:
+    """Add the span of the masks that lie over a segment: the shortest run of words that counts in it, if that is shorter
+    than the masks. One item of very short words changes nothing for the others."""
     row = F.expr(f"array_min(transform(sequence(0, greatest(size(ends) - {MIN_WORDS}, 0)), i -> get(ends, i + {MIN_WORDS} - 1) - if(i = 0, 0, get(ends, i - 1))))")
-    least = segments.filter(F.size("ends") >= MIN_WORDS).agg(F.min(row)).first()[0]
-    span = min(len(MASKS[0]), least or len(MASKS[0]))
-    return [m[:span] if span < len(m) else m for m in MASKS]
+    return segments.withColumn("span", F.least(F.lit(len(MASKS[0])), F.when(F.size("ends") >= MIN_WORDS, row)).cast("int"))
 
 
-def segment_hashes(segments: DataFrame, masks: list[str]) -> DataFrame:
+def mask_of(span: int, k: int) -> str:
+    return MASKS[k][:span]
+
+
+def segment_hashes(segments: DataFrame) -> DataFrame:
+    """(item_id, seg, item_at, mask, hash); a mask is told by its span and its number."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples(index=False):
-                for k, mask in enumerate(masks):
-                    h = hashes(row.chars, mask)
-                    yield pd.DataFrame({"item_id": row.item_id, "seg": row.seg, "item_at": np.arange(len(h)), "mask": k, "hash": h})
+                for k in range(len(MASKS)):
+                    h = hashes(row.chars, mask_of(row.span, k))
+                    yield pd.DataFrame({"item_id": row.item_id, "seg": row.seg, "item_at": np.arange(len(h)), "mask": 2 * row.span + k, "hash": h})
 
-    return segments.select("item_id", "seg", "chars").mapInPandas(run, "item_id long, seg int, item_at int, mask int, hash long")
+    return segments.select("item_id", "seg", "chars", "span").mapInPandas(run, "item_id long, seg int, item_at int, mask int, hash long")
 
 
-def document_hits(docs: DataFrame, masks: list[str], sieve: np.ndarray | None) -> DataFrame:
-    """(doc_id, chars, doc_at, mask, hash) of the documents. Text goes along only with hashes that pass the sieve."""
+def document_hits(docs: DataFrame, spans: list[int], sieve: np.ndarray | None) -> DataFrame:
+    """(doc_id, doc_at, mask, hash) of the documents, only those that pass the sieve if there is one. Many texts are hashed
+    together, with a gap between them that no mask crosses."""
     bits = 24
     table = None
-    if sieve is not None and len(sieve):
+    if sieve is not None:
         table = np.zeros(1 << bits, dtype=bool)
         table[sieve.view(np.uint64) >> np.uint64(64 - bits)] = True
     shared = docs.sparkSession.sparkContext.broadcast((table, None if table is None else np.sort(sieve)))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hits(ids: list[int], texts: list[str]) -> pd.DataFrame:
         table, known = shared.value
+        sizes = np.array([len(t) for t in texts])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        whole, out = "".join(texts), []
+        for span in spans:
+            for k in range(len(MASKS)):
+                h = hashes(whole, mask_of(span, k))
+                at = np.arange(len(h))
+                if table is not None and len(h):
+                    at = np.flatnonzero(table[h.view(np.uint64) >> np.uint64(64 - bits)])
+                    place = np.searchsorted(known, h[at])
+                    at = at[known[np.minimum(place, len(known) - 1)] == h[at]] if len(known) else at[:0]
+                doc = np.searchsorted(starts, at, "right") - 1
+                inside = at - starts[doc] + span <= sizes[doc]
+                at, doc = at[inside], doc[inside]
+                out.append(pd.DataFrame({"doc_id": np.array(ids, dtype=np.int64)[doc], "doc_at": (at - starts[doc]).astype(np.int32), "mask": np.int32(2 * span + k), "hash": h[at]}))
+        return pd.concat(out)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
+            ids, texts, size = [], [], 0
             for doc_id, text in zip(part["doc_id"], part["text"]):
                 chars = plain(text)
-                ats, hs, ks = [], [], []
-                for k, mask in enumerate(masks):
-                    h = hashes(chars, mask)
-                    at = np.arange(len(h), dtype=np.int32)
-                    if table is not None:
-                        at = at[table[h.view(np.uint64) >> np.uint64(64 - bits)]]
-                        if len(at):
-                            place = np.searchsorted(known, h[at])
-                            at = at[known[np.minimum(place, len(known) - 1)] == h[at]]
-                    ats.append(at)
-                    hs.append(h[at])
-                    ks.append(np.full(len(at), k, dtype=np.int32))
-                if sum(map(len, ats)):
-                    out.append((doc_id, chars, np.concatenate(ats), np.concatenate(ks), np.concatenate(hs)))
-            yield pd.DataFrame(out, columns=["doc_id", "chars", "doc_at", "mask", "hash"])
-
-    schema = "doc_id long, chars string, doc_at array<int>, mask array<int>, hash array<long>"
-    rows = spread(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")).mapInPandas(run, schema)
-    return rows.select("doc_id", "chars", F.explode(F.arrays_zip("doc_at", "mask", "hash")).alias("h")).select("doc_id", "chars", "h.doc_at", "h.mask", "h.hash")
+                if chars:
+                    ids.append(doc_id)
+                    texts.append(chars)
+                    size += len(chars)
+                if size > TOGETHER:
+                    yield hits(ids, texts)
+                    ids, texts, size = [], [], 0
+            if ids:
+                yield hits(ids, texts)
+
+    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    return spread(rows).mapInPandas(run, "doc_id long, doc_at int, mask int, hash long")
 
 
 def compared(doc: str, item: str, ends: np.ndarray | None, shift: int) -> tuple[int, int, int]:
@@ -175,28 +195,41 @@ def overlaps(docs: DataFrame, items: DataFrame, sieve_most: int = SIEVE_MOST) ->
     Null, empty and very long texts, repeated rows and empty tables need no care of the caller: a null or empty
     text has no hit, a repeated document or item counts once. run_words is null where characters count.
     """
-    segments = item_segments(items)
-    masks = masks_for(segments)
-    item_hashes = segment_hashes(segments, masks)
-    distinct = item_hashes.select("hash").distinct()
-    sieve = None
-    small = distinct.limit(sieve_most + 1).count() <= sieve_most
-    if small:  # a proven bound, so the hashes of the test items may be sent to every task
-        sieve = distinct.toPandas()["hash"].to_numpy(dtype=np.int64)
-    hits = document_hits(docs, masks, sieve)
+    segments = cut_lineage(with_span(item_segments(items)))
+    spans = sorted(r[0] for r in segments.select("span").distinct().collect())  # at most one for each length of a mask
+    item_hashes = cut_lineage(segment_hashes(segments))
+    chars = segments.agg(F.coalesce(F.sum(F.length("chars")), F.lit(0))).first()[0]
+    small = item_hashes.count() <= sieve_most and chars <= min(TEXT_MOST, 10 * sieve_most)
+    sieve, texts = None, None
+    if small:  # a checked bound, so hashes and texts of the test items may be sent to every task
+        sieve = item_hashes.select("hash").distinct().toPandas()["hash"].to_numpy(dtype=np.int64)
+        own = segments.select("item_id", "seg", "chars", "ends").collect()
+        texts = {(r["item_id"], r["seg"]): (r["chars"], None if r["ends"] is None else np.array(r["ends"])) for r in own}
+    shared = docs.sparkSession.sparkContext.broadcast(texts)
+    hits = document_hits(docs, spans, sieve)
     found = hits.join(F.broadcast(item_hashes) if small else item_hashes, ["mask", "hash"])
-    pairs = found.select("doc_id", "chars", "item_id", "seg", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
-    own = segments.select("item_id", "seg", F.col("chars").alias("item_chars"), "ends")
-    pairs = pairs.join(F.broadcast(own) if small else own, ["item_id", "seg"])
-
-    @F.pandas_udf("run_chars int, run_words int, tolerant_chars int")
-    def compare(doc: pd.Series, item: pd.Series, ends: pd.Series, shift: pd.Series) -> pd.DataFrame:
-        rows = [compared(d, i, None if e is None else np.asarray(e), int(s)) for d, i, e, s in zip(doc, item, ends, shift)]
-        return pd.DataFrame(rows, columns=["run_chars", "run_words", "tolerant_chars"])
-
-    pairs = pairs.select("doc_id", "item_id", F.col("ends").isNotNull().alias("by_words"), compare("chars", "item_chars", "ends", "shift").alias("c"))
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max("c.run_chars").alias("run_chars"), F.max(F.when(F.col("by_words"), F.col("c.run_words"))).alias("run_words"), F.max("c.tolerant_chars").alias("tolerant_chars"))
-    return best
+    pairs = found.select("doc_id", "item_id", "seg", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    if not small:
+        pairs = pairs.join(segments.select("item_id", "seg", F.col("chars").alias("item_chars"), "ends"), ["item_id", "seg"])
+    cols = [c for c in pairs.columns if c != "doc_id"]
+    # texts come in once for each document that has a hit, however many it has
+    pairs = pairs.groupBy("doc_id").agg(F.collect_list(F.struct(*cols)).alias("pairs"))
+    both = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").join(pairs, "doc_id")
+
+    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts = shared.value
+        for part in parts:
+            rows = []
+            for doc_id, text, pairs in zip(part["doc_id"], part["text"], part["pairs"]):
+                doc = plain(text)
+                for p in pairs:
+                    item, ends = texts[p["item_id"], p["seg"]] if texts is not None else (p["item_chars"], None if p["ends"] is None else np.asarray(p["ends"]))
+                    run, words, tolerant = compared(doc, item, ends, int(p["shift"]))
+                    rows.append((doc_id, p["item_id"], run, None if ends is None else words, tolerant))
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run_chars", "run_words", "tolerant_chars"]).astype({"run_words": "Int64"})
+
+    rows = both.mapInPandas(compare, "doc_id long, item_id long, run_chars int, run_words int, tolerant_chars int")
+    return rows.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("run_chars", "run_words", "tolerant_chars")])
 
 
 def leaked(found: DataFrame) -> DataFrame:

@@ -58,6 +58,37 @@ def test_substitutions_are_tolerated():
     assert L.compared(other, text, None, 0) == (len(text) - 41, 0, len(text))
 
 
+def test_recall_of_tolerant_overlaps(spark):
+    """Passages of 60 characters and more with every twelfth to twentieth character replaced are found again."""
+    rng = random.Random(11)
+    items = [(i, "zh", "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(90))) for i in range(60)]
+    docs = []
+    for i, _, text in items:
+        part = list(text[10 : 70 + i % 20])
+        at = rng.randrange(12)
+        while at < len(part):
+            part[at] = "囧"
+            at += rng.randrange(12, 21)
+        docs.append((i, "前" * 40 + "".join(part) + "后" * 40, "x"))
+    got = {(r["doc_id"], r["item_id"]) for r in L.overlaps(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).filter("tolerant_chars >= 48").collect()}
+    assert len({(i, i) for i in range(60)} & got) >= 54 and all(a == b for a, b in got)
+
+
+def test_short_words_of_one_item_change_no_other_masks(spark):
+    rng = random.Random(2)
+    items = [(1, "en", "a b c d e f g h i j k l m"), (2, "en", passage(rng, 30)), (3, "en", "one two")]
+    segments = L.with_span(L.item_segments(spark.createDataFrame(items, ITEM)))
+    assert {(r["item_id"], r["span"]) for r in segments.collect()} == {(1, 12), (2, 24), (3, 24)}
+    docs = [(1, "so a b c d e f g h i j k l it is", "x"), (2, items[1][2][8:], "x"), (3, "one two", "x")]
+    assert found(spark, docs, items) == brute(docs, items) == found(spark, docs, items, sieve_most=0) == {(1, 1), (2, 2)}
+
+
+def test_texts_hashed_together_do_not_run_into_each_other(spark):
+    item = "".join(chr(0x4E00 + 7 * k) for k in range(48))
+    docs = [(1, item[:12], "x"), (2, item[12:24], "x"), (3, item[24:48], "x")]
+    assert found(spark, docs, [(9, "zh", item)]) == {(3, 9)}
+
+
 def test_edges(spark):
     item = [(1, None, "一" * 30 + "二三四五六七八九十百千万亿甲乙丙丁戊己庚辛壬癸子丑寅卯"), (1, None, None), (None, "en", "x"), (2, "en", "")]
     docs = [(1, None, "x"), (2, "", "x"), (None, "一" * 30, "x"), (3, "零" * 100_000 + "一" * 30, "x"), (3, "零" * 100_000 + "一" * 30, "x")]
