@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
 from functools import lru_cache
@@ -47,6 +48,7 @@ PLAIN_UNITS = {
 DIGITS = {ch: i for group in ("零一二三四五六七八九", "〇壹贰叁肆伍陆柒捌玖") for i, ch in enumerate(group)} | {"两": 2, "兩": 2, "貳": 2, "參": 3, "陸": 6}
 PLACES = {"十": 10, "拾": 10, "百": 100, "佰": 100, "千": 1000, "仟": 1000}
 LARGE = {"万": 10**4, "萬": 10**4, "亿": 10**8, "億": 10**8}
+#: A metric counts for a figure in its sentence or row, and so far from it beyond.
 METRIC_GAP = 60
 
 _NUMBER = r"[-−–]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:\s*[×xX*]\s*10\s*\^\s*-?\d+|[eE][+-]?\d+)?"
@@ -181,28 +183,48 @@ def invisible() -> re.Pattern:
 
 
 @lru_cache(maxsize=256)
-def prepared(passage: str) -> tuple[str, str, list[tuple[float, re.Match]]]:
-    """A passage without the line breaks that only fit the width, in lower case too, and its numbers. Kept, as the rows
-    that name a passage come together."""
+def prepared(passage: str) -> tuple[str, str, list[tuple[float, re.Match]], list[int], list[tuple[int, int]]]:
+    """A passage without the line breaks that only fit the width, in lower case too, its numbers, where its sentences
+    and rows begin, and (first cell, heading's beginning) of its tables. Kept, as the rows that name a passage come together."""
     text = invisible().sub("", unicodedata.normalize("NFKC", passage))
     text = re.sub(r"(?<=\d)[Oo](?=[\d,.])|(?<=[\d,.])[Oo](?=\d)", "0", text)
     text = re.sub(r"(?<=[\d,.])[lI](?=[\d,.])", "1", text)
     text = re.sub(r"(?<=[一-鿿\d，。；：、,.])[ \t]*\n[ \t]*(?=[一-鿿\d，。；：、,.%‰])(?!\d+\.\d+ )", "", text)
     flat = re.sub(r"[ \t]*\n[ \t]*(?![\n|])", " ", text)
     found = [(number(m[0]), m) for m in _NUM.finditer(flat)]
-    return flat, flat.lower(), [(float(v), m) for v, m in found if v is not None]
+    begins = [0, *(m.end() for m in re.finditer(r"[。!?;！？；\n]|\.(?=\s)", flat))]
+    return flat, flat.lower(), [(float(v), m) for v, m in found if v is not None], begins, tables_in(flat)
+
+
+def tables_in(flat: str) -> list[tuple[int, int]]:
+    """(first cell, beginning of the heading) of each table: a block of lines with cells, or what follows a table's number.
+    A table without a number has for heading what stands before its first cell, back to the table before."""
+    titles = [m.end() for m in re.finditer(r"(?:表|Table)\s*\d+", flat)]
+    out: list[tuple[int, int]] = []
+    last = 0
+    for m in re.finditer(r"\|[^\n]*(?:\n[ \t]*\|[^\n]*)*", flat):
+        pieces = [m.start(), *(t for t in titles if m.start() < t < m.end())]
+        for n, at in enumerate(pieces):
+            cell = at if n == 0 else flat.find("|", at)
+            before = bisect_right(titles, cell) - 1
+            out.append((cell, titles[before] if before >= 0 else last))
+        last = m.end()
+    return [x for x in out if x[0] >= 0]
 
 
 def stated_in(passage: str, n: float, metric: str | None, year: int | None) -> tuple[str, float] | None:
-    """The unit that a passage gives for a number, near its metric; table cells take the unit of the table's heading."""
-    flat, low, numbers = prepared(passage)
+    """The unit that a passage gives for a number, in the sentence or row of its metric; table cells take the unit of the
+    table's heading, however far above it stands."""
+    flat, low, numbers, begins, tables = prepared(passage)
     after, before = unit_pattern()
     want = unicodedata.normalize("NFKC", metric).lower() if metric else ""
     best = None
     for value, m in numbers:
         if abs(value - n) > 1e-9 * max(1.0, abs(n)):
             continue
-        near = low[max(0, m.start() - METRIC_GAP) : m.end() + METRIC_GAP]
+        k = bisect_right(begins, m.start())
+        first, stop = begins[k - 1], begins[k] if k < len(begins) else len(low)
+        near = low[max(0, min(first, m.start() - METRIC_GAP)) : max(stop, m.end() + METRIC_GAP)]
         if want and want not in near and want.replace(" ", "") not in near.replace(" ", ""):
             continue
         cell = re.match(r"\s*\|", flat[m.end() :]) and flat[: m.start()].rstrip().endswith("|")
@@ -210,10 +232,8 @@ def stated_in(passage: str, n: float, metric: str | None, year: int | None) -> t
             line = flat[flat.rfind("\n", 0, m.start()) + 1 : m.end()].lower() if "\n" in flat[: m.start()] else near
             if want and want not in line:
                 continue
-            head = flat[max(0, m.start() - 3000) : m.start()]
-            tables = list(re.finditer(r"(?:表|Table)\s*\d+", head))
-            head = head[tables[-1].end() if tables else max(0, len(head) - 200) :]
-            head = head[: head.find("|")] if "|" in head else head
+            table = bisect_right(tables, (m.start(), 1 << 62)) - 1
+            head = flat[tables[table][1] : tables[table][0]] if table >= 0 else ""
             said = [x for x in after.finditer(head) if len(x[1]) > 1 or not x[1].isascii()]
             said = [x for x in said if not re.match(r"[a-z]", head[x.start(1) - 1 : x.start(1)], re.I)]
             unit = unit_of(max((x[1] for x in said), key=len)) if said else None
@@ -286,7 +306,10 @@ def stated_units(values: DataFrame, passages: DataFrame, sources: DataFrame) ->
     rows = values.filter("value_id IS NOT NULL").select(cols)
     read = read_units(rows)
     told = read.filter(F.col("stated_by").isNotNull() | F.col("evidence_id").isNull() | F.col("number").isNull())
-    asks = read.filter(F.col("stated_by").isNull() & F.col("evidence_id").isNotNull() & F.col("number").isNotNull())
+    # the plain spellings of units are sifted out before Python reads a row for the second time
+    known = F.coalesce(F.lower(F.replace("unit", F.lit(" "), F.lit(""))).isin(*unit_table()), F.lit(False))
+    maybe = read_units(rows.filter(F.col("evidence_id").isNotNull() & ~known))
+    asks = maybe.filter(F.col("stated_by").isNull() & F.col("number").isNotNull())
 
     @F.pandas_udf("common string, factor double")
     def look(text: pd.Series, n: pd.Series, metric: pd.Series, year: pd.Series) -> pd.DataFrame:
@@ -313,34 +336,57 @@ COMMON_UNITS = (*PLAIN_UNITS, "cny", "usd")
 FEATURES = ["size", "near", "neighbours", "negative", "broken", "metric_scale", "source_money", "source_ratio", *(f"as_{u}" for u in COMMON_UNITS)]
 
 
-def features(rows: DataFrame, every: DataFrame) -> DataFrame:
-    """Add to rows what the classifier looks at, from all rows: magnitude, decimals and sign; how the rows of the metric that state their unit
-    are spread over the common units; the scales that the source uses; the distance to the neighbouring rows of the
-    issuer's metric. Only sums by metric, source and issuer are shuffled."""
-    log = lambda c: F.log10(F.greatest(F.abs(c), F.lit(1e-9)))
-    told = every.filter("stated_by IS NOT NULL").withColumn("_s", log(F.col("number") * F.col("factor"))).withColumn("_f", log(F.col("factor")))
-    own = told.filter("metric IS NOT NULL AND issuer IS NOT NULL").groupBy("issuer", "metric").agg(F.avg("_s").alias("own_size"), F.count("*").cast("double").alias("own_n"))
-    shares = [F.avg((F.col("common") == u).cast("double")).alias(f"as_{u}") for u in COMMON_UNITS]
-    metric = told.filter("metric IS NOT NULL").groupBy("metric").agg(F.avg("_f").alias("metric_scale"), *shares)
-    mean_of = lambda u: F.avg(F.when(F.col("common") == u, F.col("_f")))
-    source = told.filter("source IS NOT NULL").groupBy("source").agg(mean_of("cny").alias("source_money"), mean_of("bp").alias("source_ratio"))
-    rows = rows.join(own, ["issuer", "metric"], "left").join(metric, "metric", "left").join(source, "source", "left")
-    return rows.select(
-        *[c for c in rows.columns if c not in FEATURES and c not in ("own_size", "own_n")],
-        log(F.col("number")).alias("size"),
-        F.coalesce(F.col("own_size") - log(F.col("number")), F.lit(-99.0)).alias("near"),
-        F.coalesce("own_n", F.lit(0.0)).alias("neighbours"),
+def _log(c: Column) -> Column:
+    return F.log10(F.greatest(F.abs(c), F.lit(1e-9)))
+
+
+def statistics(every: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sums over all rows that state their unit: of issuer and metric, of metric, of source. Made in one pass over the
+    rows, and kept; a group is one row, however many rows of quantities it has."""
+    told = every.filter("stated_by IS NOT NULL").select("issuer", "metric", "source", "common", _log(F.col("number") * F.col("factor")).alias("_s"), _log(F.col("factor")).alias("_f"))
+    # the rows are summed up by all three keys first, which leaves few for the three tables
+    of = lambda u, c: F.sum(F.when(F.col("common") == u, c))
+    shared = cut_lineage(told.groupBy("issuer", "metric", "source", "common").agg(F.sum("_s").alias("_s"), F.sum("_f").alias("_f"), F.count("*").alias("_n")))
+    own = shared.filter("metric IS NOT NULL AND issuer IS NOT NULL").groupBy("issuer", "metric").agg(F.sum("_s").alias("own_s"), F.sum("_n").alias("own_n"))
+    metric = shared.filter("metric IS NOT NULL").groupBy("metric").agg(F.sum("_f").alias("metric_f"), F.sum("_n").alias("metric_n"), *[F.coalesce(of(u, F.col("_n")), F.lit(0)).alias(f"n_{u}") for u in COMMON_UNITS])
+    source = shared.filter("source IS NOT NULL").groupBy("source").agg(*[x for u in ("cny", "bp") for x in (F.coalesce(of(u, F.col("_f")), F.lit(0.0)).alias(f"f_{u}"), F.coalesce(of(u, F.col("_n")), F.lit(0)).alias(f"c_{u}"))])
+    return own, metric, source
+
+
+def features(rows: DataFrame, sums: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """Add to rows what the classifier looks at: magnitude, decimals and sign; how the other rows of the metric are spread
+    over the common units; the scales that the source uses in its other rows; the distance to the other rows of the
+    issuer's metric. A row that states its unit is left out of what it is compared with, or it would tell its label."""
+    own, metric, source = sums
+    told = F.col("stated_by").isNotNull()
+    mine = F.when(told, 1).otherwise(0)
+    rows = rows.select(*[c for c in rows.columns if c not in FEATURES])
+    both = rows.join(own, ["issuer", "metric"], "left").join(metric, "metric", "left").join(source, "source", "left")
+    size, scale = _log(F.col("number") * F.col("factor")), _log(F.col("factor"))
+    mean = lambda total, n, minus, less: F.when(n - less > 0, (total - F.when(less > 0, minus).otherwise(0.0)) / (n - less))
+    unit = lambda u: F.when(told & (F.col("common") == u), 1).otherwise(0)
+    return both.select(
+        *rows.columns,
+        _log(F.col("number")).alias("size"),
+        F.coalesce(mean(F.col("own_s"), F.col("own_n"), size, mine) - _log(F.col("number")), F.lit(-99.0)).alias("near"),
+        F.coalesce((F.col("own_n") - mine).cast("double"), F.lit(0.0)).alias("neighbours"),
         F.coalesce((F.col("number") < 0).cast("double"), F.lit(0.0)).alias("negative"),
         F.when(F.col("number") == F.floor("number"), 0.0).otherwise(1.0).alias("broken"),
-        *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in FEATURES[5:]],
+        F.coalesce(mean(F.col("metric_f"), F.col("metric_n"), scale, mine), F.lit(-1.0)).alias("metric_scale"),
+        F.coalesce(mean(F.col("f_cny"), F.col("c_cny"), scale, unit("cny")), F.lit(-1.0)).alias("source_money"),
+        F.coalesce(mean(F.col("f_bp"), F.col("c_bp"), scale, unit("bp")), F.lit(-1.0)).alias("source_ratio"),
+        *[F.coalesce(F.when(F.col("metric_n") - mine > 0, (F.col(f"n_{u}") - unit(u)) / (F.col("metric_n") - mine)), F.lit(-1.0)).alias(f"as_{u}") for u in COMMON_UNITS],
     )
 
 
 def bounded(rows: DataFrame, most: int, salt: int) -> DataFrame:
     """About `most` rows, chosen by a hash of their id, the same on each run. The count is the only thing collected."""
-    n = rows.count()
-    share = min(1.0, most / max(n, 1))
-    return rows.filter(F.pmod(F.xxhash64("value_id", F.lit(salt)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return below(rows, min(1.0, most / max(rows.count(), 1)), salt)
+
+
+def below(rows: DataFrame, share: float, salt: int) -> DataFrame:
+    """A share of the rows by all 63 bits of a hash of their id, so that the smallest share of the largest table is not nothing."""
+    return rows if share >= 1 else rows.filter(F.shiftrightunsigned(F.xxhash64("value_id", F.lit(salt)), 1) < int(share * 2**63))
 
 
 def predict(rows: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
@@ -352,8 +398,9 @@ def predict(rows: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: int
     label = F.concat_ws("|", "common", F.col("factor").cast("string"))
     known = rows.filter("stated_by IN ('raw', 'unit', 'passage') AND number IS NOT NULL").withColumn("label", label)
     fold = F.pmod(F.xxhash64("value_id"), F.lit(4))
-    train = cut_lineage(features(bounded(known.filter(fold != 0), train_rows, 1), rows))
-    ask = features(rows.filter("stated_by IS NULL AND number IS NOT NULL"), rows)
+    sums = statistics(rows)
+    train = cut_lineage(features(bounded(known.filter(fold != 0), train_rows, 1), sums))
+    ask = features(rows.filter("stated_by IS NULL AND number IS NOT NULL"), sums)
     empty = F.lit(None)
     rest = rows.filter("stated_by IS NOT NULL OR number IS NULL")
     add = lambda df, p, q, c, d: df.select(*rows.columns, p.cast("string").alias("predicted"), q.cast("double").alias("probability"), c.cast("string").alias("category"), d.cast("double").alias("category_p"))
@@ -381,7 +428,7 @@ def predict(rows: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: int
         # the probabilities leave the JVM once; as columns they would be computed anew for each use
         return df.withColumn("_b", best(vector_to_array("probability"))).drop("probability", "rawPrediction", "prediction", "features")
 
-    held = cut_lineage(scored(features(bounded(known.filter(fold == 0), calibration_rows, 2), rows)).select("label", "_b.*", "common"))
+    held = cut_lineage(scored(features(bounded(known.filter(fold == 0), calibration_rows, 2), sums)).select("label", "_b.*", "common"))
     # scores are rounded to hundredths, so a fit is a table of 101 values
     fit = lambda score, right: table(held.select(F.round(score, 2).alias("score"), right.cast("double").alias("right")))
     unit_curve = fit(F.col("top"), F.col("name") == F.col("label"))
