@@ -36,6 +36,7 @@ FRAME = {"null", "none", "na", "n", "a", "json", "answer", "reason", "judgements
 #: How a question asks for the language of the reasons.
 ASKED = {"zh": r"reasons in chinese|用中文|in chinese", "en": r"用英文|reasons in english|in english|用英语"}
 _FOLD = str.maketrans(LOOKALIKES)
+_FOLDED = regex.compile(f"[{regex.escape(''.join(LOOKALIKES))}]")
 _ANSWER = regex.compile(r"(?<![A-Za-z&./])(?:[A-D](?:\s*[,、，和&]\s*)?){1,4}(?![A-Za-z&])")
 _ECHO = regex.compile(r"[“\"「『](.+?)[”\"」』]", regex.S)
 _FENCE = regex.compile(r"^\s*```[a-zA-Z]*\s*|\s*```\s*$")
@@ -64,11 +65,21 @@ class Profiles:
         for j, name in enumerate(self.names):
             for g, n in counts[name].items():
                 table[grams[g], j] += n
+        self.known: dict[str, np.ndarray] = {}
         self.grams, self.logs = grams, np.log(table / table.sum(axis=0)) if self.names else table
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": {}}
+
     def scores(self, text: str) -> np.ndarray | None:
-        found = [self.grams.get(g, -1) for g in grams_of(text)]
-        return self.logs[found].sum(axis=0) if found and self.names else None
+        """Log likelihoods of a text, word by word; those of words are kept, as they recur."""
+        words = rx(r"\p{Latin}+").findall(text.lower()) if self.names else []
+        for word in words:
+            if word not in self.known:
+                if len(self.known) > 100_000:
+                    self.known.clear()
+                self.known[word] = self.logs[[self.grams.get(g, -1) for g in grams_of(word)]].sum(axis=0)
+        return sum(self.known[w] if w in self.known else self.logs[[self.grams.get(g, -1) for g in grams_of(w)]].sum(axis=0) for w in words) if words else None
 
     def language(self, text: str) -> str:
         """The likeliest language, or `latin` where none is told or two are too near."""
@@ -132,25 +143,41 @@ def profiles(documents: DataFrame | None, most: int = PROFILE_DOCS) -> Profiles:
     return Profiles({lang: c for lang, c in counts.items() if lang not in UNDETERMINED and texts[lang][0] > texts[lang][1]})
 
 
+def narrow(text: str) -> str:
+    """A text in narrow and composed forms."""
+    return text if text.isascii() else unicodedata.normalize("NFKC", text)
+
+
+def latin_look(text: str) -> str:
+    """Letters of other scripts that print as Latin ones, as these; most texts have none."""
+    return text if text.isascii() or not _FOLDED.search(text) else text.translate(_FOLD)
+
+
 def fold(text: str) -> str:
     """Letters and digits only, in one case, width and look."""
-    return "".join(filter(str.isalnum, unicodedata.normalize("NFKC", text).translate(_FOLD).casefold()))
+    return "".join(filter(str.isalnum, latin_look(narrow(text)).casefold()))
+
+
+def shown(text: str) -> str:
+    """A text without invisible characters."""
+    return text if text.isascii() else rx(r"\p{Cf}+").sub("", text)
 
 
 def visible(text: str) -> str:
-    return rx(r"\p{Cf}").sub("", text).strip()
+    return shown(text).strip()
 
 
 def unmixed(text: str) -> str:
     """Words that mix Latin letters with look-alikes of other scripts, in Latin letters."""
-    if not rx(r"[\p{Cyrillic}\p{Greek}]").search(text):
+    if text.isascii() or not rx(r"[\p{Cyrillic}\p{Greek}]").search(text):
         return text
-    mixed = regex.compile(r"\b(?=\w*\p{Latin})(?=\w*[\p{Cyrillic}\p{Greek}])\w+")
-    return mixed.sub(lambda m: m[0].translate(_FOLD), text)
+    return rx(r"\b(?=\w*\p{Latin})(?=\w*[\p{Cyrillic}\p{Greek}])\w+").sub(lambda m: m[0].translate(_FOLD), text)
 
 
 def script_of(text: str) -> str:
     """The script most of a text is written in; empty where fewer than three characters' worth tell."""
+    if text.isascii():
+        return "latin" if sum(map(str.isalpha, text)) >= _LETTERS["latin"] else ""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
     sums = np.bincount(_KIND[np.searchsorted(_STARTS, points, "right") - 1], minlength=len(_KINDS))
     counts = {name: sums[k] / _LETTERS[name] for k, name in enumerate(_KINDS) if name}
@@ -162,7 +189,7 @@ def script_of(text: str) -> str:
 
 def bare(text: str) -> str:
     """A text without invisible characters, quotations and titles, words of mixed scripts in Latin letters."""
-    text = unicodedata.normalize("NFKC", rx(r"\p{Cf}").sub("", text))
+    text = narrow(shown(text))
     return unmixed(rx(r"[“「『«\"][^”」』»\"]{0,80}[”」』»\"]|《[^》]*》").sub(" ", text))
 
 
@@ -201,7 +228,8 @@ def reasons_in(value: dict) -> str:
 
 def taken_apart(raw: str | None, question: str | None, options: list[str]) -> dict:
     """shape (empty, truncated, copy, plain), answered, reasons and opening of one reply."""
-    out = {"shape": "plain", "answered": False, "reasons": "", "opening": ""}
+    asked = fold(question or "")
+    out = {"shape": "plain", "answered": False, "reasons": "", "opening": "", "asked": asked}
     text = visible(_FENCE.sub("", visible(raw or "")))
     words = {w for w in rx(r"[^\p{L}]+").split(text.lower()) if w}
     try:
@@ -213,7 +241,6 @@ def taken_apart(raw: str | None, question: str | None, options: list[str]) -> di
         if words <= FRAME and not rx(r"\p{N}").search(text) and not _ANSWER.search(text):
             return out | {"shape": "empty"}
     folded = fold(" ".join(leaves(value)) if isinstance(value, (dict, list)) else text)
-    asked = fold(question or "")
     at = folded.find(asked) if len(asked) >= 8 else -1
     if at >= 0:
         rest = folded[:at] + folded[at + len(asked) :]
@@ -258,37 +285,35 @@ def taken_apart(raw: str | None, question: str | None, options: list[str]) -> di
 
 def masked(opening: str, question: str | None) -> str:
     """The first words of an opening; numbers, and what also stands in its question, give way to one sign."""
-    ask = unicodedata.normalize("NFKC", question or "").lower()
+    ask = narrow(question or "").lower()
     asked = set(rx(r"[\p{L}\p{N}]+").findall(ask))
-    words = rx(r"\p{Han}|[\p{Hiragana}\p{Katakana}]|\d[\d.,]*|[\p{L}\p{N}]+").findall(unicodedata.normalize("NFKC", opening).lower()[: 12 * OPENING])[:OPENING]
+    words = rx(r"\p{Han}|[\p{Hiragana}\p{Katakana}]|\d[\d.,]*|[\p{L}\p{N}]+").findall(narrow(opening).lower()[: 12 * OPENING])[:OPENING]
     hide = [w[0].isdigit() or (len(w) >= 4 and w in asked) for w in words]
-    for i in range(len(words) - 1):
-        pair = words[i] + words[i + 1] if rx(r"\p{Han}").match(words[i]) else words[i] + " " + words[i + 1]
-        if pair in ask and len(pair) > 1:
+    for i, (w, after) in enumerate(zip(words, words[1:])):
+        if (w + after if "㐀" <= w <= "鿿" else w + " " + after) in ask:
             hide[i] = hide[i + 1] = True
     kept = ["#" if h else w for w, h in zip(words, hide)]
     return " ".join(w for i, w in enumerate(kept) if w != "#" or i == 0 or kept[i - 1] != "#")
 
 
 def expected_language(question: str | None, known: Profiles) -> str:
-    plain = rx(r"\p{Cf}").sub("", unicodedata.normalize("NFKC", question or "")).translate(_FOLD).lower()
-    plain = rx(r"\s+").sub(" ", plain)
+    plain = rx(r"\s+").sub(" ", latin_look(shown(narrow(question or ""))).lower())
     for name, how in ASKED.items():
-        if regex.search(how, plain):
+        if rx(how).search(plain):
             return name
     return language(question or "", known)
 
 
 def words_of(question: str | None) -> str:
     """The words and Han characters of a question, in one case, width and look."""
-    return " ".join(rx(r"\p{Han}|[\p{L}\p{N}]+").findall(unicodedata.normalize("NFKC", question or "").translate(_FOLD).casefold()))
+    return " ".join(rx(r"\p{Han}|[\p{L}\p{N}]+").findall(latin_look(narrow(question or "")).casefold()))
 
 
 def replies(answers: DataFrame, questions: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """(answer_id, qid, prompt, asked, shape, answered, opening, other_language) of every reply, once for each answer_id.
 
     prompt is the same for questions that are one in letters and digits, whatever their ids; a question without any is
-    told by its id. asked are the words of the question. documents (doc_id, lang, text) are what languages in Latin
+    told by its id. asked are the words of the question of a reply without an answer, empty otherwise. documents (doc_id, lang, text) are what languages in Latin
     letters are learned from.
     A null reply is empty; a reply to an unknown question is checked without it. Re-delivered answers and repeated
     questions count once.
@@ -297,21 +322,21 @@ def replies(answers: DataFrame, questions: DataFrame, documents: DataFrame | Non
     a = answers.filter("answer_id IS NOT NULL").select("answer_id", "qid", "raw_model_output")
     shared = answers.sparkSession.sparkContext.broadcast(profiles(documents))
 
-    @F.pandas_udf("asked string, shape string, answered boolean, opening string, other_language boolean")
+    @F.pandas_udf("prompt string, asked string, shape string, answered boolean, opening string, other_language boolean")
     def look(raw: pd.Series, question: pd.Series, options: pd.Series) -> pd.DataFrame:
         rows, known = [], shared.value
         for r, q, o in zip(raw, question, options):
             x = taken_apart(r, q, [] if o is None else [v for v in o if v])
             other = len(x["reasons"]) >= 8 and len(fold(x["reasons"])) >= 8 and foreign(x["reasons"], expected_language(q, known), known)
-            rows.append((words_of(q), x["shape"], x["answered"], masked(x["opening"], q) if x["opening"] else "", other))
-        return pd.DataFrame(rows, columns=["asked", "shape", "answered", "opening", "other_language"])
+            rows.append((x["asked"], words_of(q) if x["shape"] == "plain" and not x["answered"] else "", x["shape"], x["answered"], masked(x["opening"], q) if x["opening"] else "", other))
+        return pd.DataFrame(rows, columns=["prompt", "asked", "shape", "answered", "opening", "other_language"])
 
     both = a.join(q, "qid", "left")
     # by the key that is made unique below, and in a given number of parts, as few bytes hold much work for Python
     both = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), "answer_id")
     both = both.select("answer_id", "qid", look("raw_model_output", "question", "options").alias("x"))
-    asked = F.when(F.col("x.asked") != "", F.md5(F.replace("x.asked", F.lit(" "), F.lit("")).cast("binary"))).otherwise(F.concat(F.lit("qid "), "qid"))
-    return both.select("answer_id", "qid", asked.alias("prompt"), "x.asked", "x.shape", "x.answered", "x.opening", "x.other_language").dropDuplicates(["answer_id"])
+    prompt = F.when(F.col("x.prompt") != "", F.md5(F.col("x.prompt").cast("binary"))).otherwise(F.concat(F.lit("qid "), "qid"))
+    return both.select("answer_id", "qid", prompt.alias("prompt"), "x.asked", "x.shape", "x.answered", "x.opening", "x.other_language").dropDuplicates(["answer_id"])
 
 
 def signed(texts: DataFrame) -> DataFrame:
@@ -403,7 +428,7 @@ def templates(parsed: DataFrame) -> DataFrame:
     openings = whole.groupBy("opening").agg(F.count("*").alias("replies"), F.sum(F.col("answered").cast("int")).alias("answered"))
     openings = cut_lineage(openings.withColumn("id", F.xxhash64("opening")))
     of = cut_lineage(classes(openings.select("id", F.col("opening").alias("text"))).join(openings, "id"))
-    asked = cut_lineage(whole.select("opening", "prompt", "asked").join(of.select("opening", "class_id"), "opening").groupBy("class_id", "prompt").agg(F.min("asked").alias("asked")))
+    asked = cut_lineage(whole.select("opening", "prompt", "asked").join(of.select("opening", "class_id"), "opening").groupBy("class_id", "prompt").agg(F.max("asked").alias("asked")))
     total = of.groupBy("class_id").agg(F.sum("replies").alias("replies"), F.sum("answered").alias("answered")).join(asked.groupBy("class_id").agg(F.count("*").alias("prompts")), "class_id")
     total = cut_lineage(total)
     may = F.col("answered") <= MOST_ANSWERED * F.col("replies")
