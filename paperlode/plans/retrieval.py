@@ -92,12 +92,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search_chunks(_queries(spark, sf_dir), _chunks(spark, sf_dir), 10)
-    return found.withColumn("score", F.round("score", 6))
+    found = search.search_chunks(cut_lineage(_queries(spark, sf_dir)), _chunks(spark, sf_dir), 10)
+    return found.withColumn("matched", _joined("matched"))
 
 
 def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_docs(_queries(spark, sf_dir).withColumn("doc_ids", F.array().cast("array<string>")), _chunks(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return search.search_docs(cut_lineage(_queries(spark, sf_dir).withColumn("doc_ids", F.array().cast("array<string>"))), _chunks(spark, sf_dir))
 
 
 def sub_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,53 @@ def _plain_tokens(x: str) -> str:
     return f"list_concat(regexp_extract_all({norm}, '{config.LATIN_NUMBER}'), flatten(list_transform(regexp_extract_all({norm}, '{config.CJK_RUN}'), lambda r: {grams})))"
 
 
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _matches(x: str, pattern: str) -> str:
+    return f"regexp_extract_all(coalesce({x}, ''), '{pattern}')"
+
+
+def _low(x: str) -> str:
+    return f"replace(lower({x}), '　', ' ')"
+
+
+def _structured(x: str) -> str:
+    found = f"list_transform({_matches(x, config.STRUCTURED)}, lambda s: {_strip('s')})"
+    return f"list_transform([{found}], lambda f: {_distinct('f')})[1]"
+
+
+def _tokens(x: str) -> str:
+    """The bag of terms of a text. Words of one or two digits are told by the runs of letters and digits around them."""
+    alias = config.DOC_ALIAS[: config.DOC_ALIAS.index("|(?<!")]
+    numbers = r"list_filter(regexp_extract_all(w, '[\p{L}\p{N}_]+'), lambda n: regexp_full_match(n, '\d{1,2}'))"
+    parts = [_matches("w", config.STRUCTURED), _matches("w", config.ENTITY), f"list_filter({_list(config.FINANCE_TERMS)}, lambda t: contains(w, lower(t)))", _matches("w", alias), numbers, _plain_tokens("w")]
+    return f"list_filter(list_transform([{_low(f'coalesce({x}, {EMPTY})')}], lambda w: flatten([{', '.join(parts)}]))[1], lambda t: trim(t) <> '')"
+
+
+def _metrics(x: str) -> str:
+    return f"list_filter({_list(config.METRIC_TERMS)}, lambda t: contains(lower(coalesce({x}, '')), lower(t)))"
+
+
+def _numbers(x: str) -> str:
+    return rf"list_transform({_matches(x, config.NUMBER)}, lambda t: regexp_replace(t, '\s+', '', 'g'))"
+
+
+def _once(x: str) -> str:
+    return f"list_transform([{x}], lambda f: {_distinct('f')})[1]"
+
+
+def _hints(x: str) -> str:
+    return _once(f"list_transform({_matches(x, config.DOC_HINT)}, lambda h: regexp_replace(lower(h), '^fc_(text)', '\\1'))")
+
+
+def _important(x: str) -> str:
+    generic = f"list_filter({_matches(x, config.GENERIC)}, lambda t: length(t) >= 2 AND NOT list_contains({_list(config.STOP_WORDS)}, t))"
+    return _once(f"flatten([{_metrics(x)}, {_numbers(x)}, {_once(_matches(x, config.STRONG))}, {generic}])") + "[1:80]"
+
+
+EMPTY = "''"
 DOCS = "docs AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM filings WHERE doc_id IS NOT NULL)"
 CHUNKS = "corpus AS (SELECT DISTINCT ON (chunk_id) * FROM chunks WHERE chunk_id IS NOT NULL)"
 QUESTIONS = "asks AS (SELECT DISTINCT ON (qid) * FROM questions WHERE qid IS NOT NULL)"
@@ -71,9 +118,68 @@ DIAGNOSED = f"""{QUESTIONS}, {KINDS},
         CASE WHEN kinds.answer IS NOT NULL THEN {_letters("kinds.answer", "MAP([]::VARCHAR[], []::BOOLEAN[])")} END AS gold,
         {_letters("last.answer", "MAP([]::VARCHAR[], []::BOOLEAN[])")} AS pred
         FROM kinds LEFT JOIN last ON kinds.qid = last.qid)"""
+WANTED = rf"""wanted AS (SELECT qid AS query_id, {QUERY_TEXT} AS query, coalesce(domain, '') AS domain, coalesce(doc_ids, []) AS scope FROM asks
+    WHERE regexp_extract(qid, '(\d+)$', 1)::BIGINT % {QUERY_STEP} = 0)"""
+ALIASES = r"""list_distinct(flatten([[lower(doc_id)], CASE WHEN starts_with(lower(doc_id), 'text') THEN ['fc_' || lower(doc_id)] ELSE [] END,
+    CASE WHEN starts_with(lower(doc_id), 'pack2_text') THEN [substr(lower(doc_id), 7)] ELSE [] END,
+    CASE WHEN starts_with(lower(doc_id), 'annual_') AND len(string_split(lower(doc_id), '_')) >= 3 THEN string_split(lower(doc_id), '_')[2:3] ELSE [] END]))"""
+
+
+def _ranked_chunks(k: int) -> str:
+    """Every chunk in a query's scope and domain with its score, from the formulas, without any bounds; the k best. Queries
+    without a scope rank chunks that share a term and those of documents that they name."""
+    return f"""bags AS (SELECT chunk_id, {_tokens("concat_ws(' ', title, array_to_string(keywords, ' '), text)")} AS tokens FROM corpus),
+        asked AS (SELECT *, {_low("query")} AS low, {_structured("query")} AS structured, {_tokens("query")} AS tokens FROM wanted),
+        sets AS (SELECT *, list_filter({_once("list_concat(structured, tokens)")}, lambda t: length(t) >= 2) AS terms FROM asked),
+        qterms AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(tokens) AS term FROM asked) GROUP BY ALL),
+        posts AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM bags) WHERE term IN (SELECT term FROM qterms) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM posts GROUP BY term), stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM bags),
+        bm AS (SELECT query_id, posts.chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * least(qf, 3) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(len(bags.tokens), 1) / avgdl))) AS bm25
+            FROM qterms JOIN posts USING (term) JOIN df USING (term) JOIN bags ON bags.chunk_id = posts.chunk_id CROSS JOIN stats GROUP BY 1, 2),
+        pairs AS (SELECT sets.query_id, low, structured, scope, c.chunk_id, c.doc_id, c.title, coalesce(bm25, 0) AS bm25,
+                list_filter(terms, lambda t: contains({_low("concat_ws(' ', c.title, c.text)")}, {_low("t")}))[1:30] AS matched
+            FROM sets JOIN corpus c ON (sets.domain = '' OR sets.domain = c.domain) AND (len(scope) = 0 OR list_contains(scope, c.doc_id))
+            LEFT JOIN bm ON bm.query_id = sets.query_id AND bm.chunk_id = c.chunk_id
+            WHERE len(scope) > 0 OR bm25 > 0 OR len(list_filter({ALIASES.replace("doc_id", "c.doc_id")}, lambda a: contains(low, a))) > 0 OR c.title <> '' AND contains(low, {_low("c.title")})),
+        scores AS (SELECT query_id, chunk_id, doc_id, matched, round(bm25 + coalesce(CASE WHEN contains(low, doc_id) THEN 2.0 ELSE 0 END, 0) + 1.5 * len(list_filter({ALIASES}, lambda a: contains(low, a)))
+                + CASE WHEN title <> '' AND contains(low, {_low("title")}) THEN 1.5 ELSE 0 END + CASE WHEN list_contains(scope, doc_id) THEN 1.0 ELSE 0 END
+                + least(4.0, 0.8 * len(list_filter(structured, lambda t: list_contains(matched, t)))) + least(2.0, 0.08 * len(matched)), 6) AS score FROM pairs),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_id) AS rank FROM scores WHERE score > 0 QUALIFY rank <= {k})"""
+
+
+PROFILES = f"""profiles AS (SELECT doc_id, term, count(*) AS cnt FROM (SELECT doc_id, unnest(list_concat({_tokens("concat_ws(' ', doc_id, title, array_to_string(keywords, ' '))")}, {_structured("text")})) AS term FROM corpus) GROUP BY ALL)"""
 
 
 SQL: dict[str, str] = {
+    "doc_profiles": f"WITH {CHUNKS}, {PROFILES} SELECT doc_id, term, cnt FROM profiles",
+    "structured_terms": f"""WITH {QUESTIONS}, t AS (SELECT qid, {QUERY_TEXT} AS x FROM asks)
+        SELECT qid, {", ".join(f"coalesce(array_to_string({e}, '|'), '') AS {n}" for n, e in (("structured", _structured("x")), ("metrics", _metrics("x")), ("numbers", _numbers("x")), ("years", _once(_matches("x", config.YEAR))), ("strong", _once(_matches("x", config.STRONG))), ("important", _important("x")), ("hints", _hints("x"))))} FROM t""",
+    "sub_queries": f"""WITH {QUESTIONS}, t AS (SELECT qid, domain, question, doc_ids, {QUERY_TEXT} AS x, coalesce(array_to_string(doc_ids, ' '), '') AS ids,
+            list_sort(list_transform(coalesce(map_entries(options), []), lambda e: {{'key': upper(e.key), 'text': coalesce(e.value, '')}})) AS opts FROM asks),
+        signed AS (SELECT *, list_transform(opts, lambda o: {{'key': o.key, 'signs': flatten([{_metrics("o.text")}, {_numbers("o.text")}, {_once(_matches("o.text", config.STRONG))}])}}) AS signs FROM t),
+        exact AS (SELECT *, {_once(f"""list_filter(flatten([
+                list_transform({_structured("x")}, lambda q: q || ' ' || coalesce(domain, '')),
+                list_transform({_metrics("x")}, lambda q: concat_ws(' ', q, array_to_string({_once(_matches("x", config.YEAR))}, ' '), ids)),
+                list_transform(list_filter(signs, lambda o: len(o.signs) > 0), lambda o: concat_ws(' ', question, o.key, array_to_string(o.signs, ' '), nullif(ids, ''))),
+                coalesce(doc_ids, []), {_hints("x")}]), lambda q: trim(q) <> '')""")}[1:30] AS short FROM signed),
+        every AS (SELECT qid, domain, flatten([[{{'kind': 'global', 'option': NULL::VARCHAR, 'query': x, 'k': 36}}],
+                list_transform(opts, lambda o: {{'kind': 'option', 'option': o.key, 'query': coalesce(question, '') || chr(10) || '选项' || o.key || ': ' || o.text, 'k': 8}}),
+                list_transform(short, lambda q: {{'kind': 'exact', 'option': NULL::VARCHAR, 'query': q, 'k': 8}})]) AS a FROM exact),
+        flat AS (SELECT qid, domain, generate_subscripts(a, 1) - 1 AS seq, unnest(a) AS s FROM every)
+        SELECT qid, seq, s.kind AS kind, s.option AS option, s.query AS query, s.k AS k, domain FROM flat WHERE trim(s.query) <> ''""",
+    "search_chunks": f"""WITH {CHUNKS}, {QUESTIONS}, {WANTED}, {_ranked_chunks(10)}
+        SELECT query_id, rank, chunk_id, doc_id, score, coalesce(array_to_string(matched, '|'), '') AS matched FROM ranked""",
+    "search_docs": f"""WITH {CHUNKS}, {QUESTIONS}, {WANTED.replace("coalesce(doc_ids, []) AS scope", "[]::VARCHAR[] AS scope")}, {_ranked_chunks(100)}, {PROFILES},
+        words AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(tokens) AS term FROM asked) WHERE length(term) >= 2),
+        docs AS (SELECT DISTINCT doc_id FROM corpus),
+        parts AS (SELECT query_id, doc_id, score AS s FROM ranked
+            UNION ALL SELECT query_id, doc_id, s FROM (
+                SELECT query_id, doc_id, least(1.5, 0.2 * cnt) AS s FROM words JOIN profiles USING (term)
+                UNION ALL SELECT query_id, doc_id, 2.0 FROM (SELECT query_id, unnest(structured) AS term FROM asked) JOIN profiles USING (term)
+                UNION ALL SELECT query_id, doc_id, CASE WHEN contains(low, lower(doc_id)) THEN 12.0 ELSE 0 END + CASE WHEN len(list_filter({ALIASES}, lambda a: contains(low, a))) > 0 THEN 8.0 ELSE 0 END FROM asked CROSS JOIN docs) x
+                JOIN wanted USING (query_id)
+                WHERE s > 0 AND (wanted.domain = '' OR EXISTS (SELECT 1 FROM corpus WHERE corpus.doc_id = x.doc_id AND corpus.domain = wanted.domain)))
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(s), 6) DESC, doc_id) AS rank, doc_id, round(sum(s), 6) AS score FROM parts GROUP BY query_id, doc_id QUALIFY rank <= 10""",
     "clean_text": f"""SELECT DISTINCT doc_id, md5({_strip(r"regexp_replace(regexp_replace(replace(text, '　', ' '), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")}) AS text_md5,
         substr(md5(doc_id || '::0::0'), 1, 12) AS stable_id FROM filings WHERE doc_id IS NOT NULL AND text IS NOT NULL""",
     "doc_meta": r"""SELECT DISTINCT doc_id, regexp_extract(path, '([^/]*?)(?:\.[^./]*)?$', 1) AS stem, regexp_extract(path, '([^/]+)/[^/]*$', 1) AS folder,
