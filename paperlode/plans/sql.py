@@ -147,6 +147,31 @@ def _ranked_chunks(k: int) -> str:
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_id) AS rank FROM scores WHERE score > 0 QUALIFY rank <= {k})"""
 
 
+def _yes(j: str) -> str:
+    return f"coalesce(({j})::VARCHAR NOT IN ('false', 'null', '0', '0.0', '\"\"', '[]', '{{}}'), false)"
+
+
+def _said(path: str) -> str:
+    return f"""CASE json_type(v, '{path}') WHEN 'ARRAY' THEN array_to_string(list_transform(json_extract(v, '{path}[*]'), lambda x: x->>'$'), '')
+        WHEN 'OBJECT' THEN NULL WHEN 'NULL' THEN NULL ELSE json_extract_string(v, '{path}') END"""
+
+
+def _letter_keys(path: str) -> str:
+    keys = f"list_filter(list_sort(json_keys(v, '{path}')), lambda k: upper(k) IN ('A', 'B', 'C', 'D') AND {_yes(f"""json_extract(json_extract(v, '{path}'), '$.' || k)""")})"
+    return f"CASE WHEN json_type(v, '{path}') = 'OBJECT' AND len({keys}) > 0 THEN array_to_string({keys}, '') END"
+
+
+REPLY_NAMES = ("answer", "value", "choice", "choices", "letters")
+PARSED = rf"""bodies AS (SELECT replies.answer_id, replies.raw_model_output AS raw, asks.answer_format, asks.options, regexp_replace(trim(raw_model_output), '^```(?:json)?\s*|\s*```$', '', 'g') AS body,
+        regexp_extract(raw_model_output, '(?s)\{{.*\}}', 0) AS braces FROM replies JOIN asks ON replies.qid = asks.qid),
+    vs AS (SELECT *, CASE WHEN json_valid(body) THEN body::JSON WHEN json_valid(braces) THEN braces::JSON END AS v FROM bodies),
+    js AS (SELECT *, coalesce({", ".join(f"CASE WHEN {_yes(f"json_extract(v, '$.{k}')")} THEN json_extract(v, '$.{k}') END" for k in ("option_judgements", "judgements", "opt"))}) AS j FROM vs),
+    es AS (SELECT *, CASE json_type(j) WHEN 'OBJECT' THEN list_transform(list_sort(json_keys(j)), lambda k: {{'o': upper(k), 'v': json_extract(j, '$.' || k)}})
+        WHEN 'ARRAY' THEN list_transform(json_extract(j, '$[*]'), lambda x: {{'o': upper(coalesce(x->>'option', x->>'key', x->>'letter')), 'v': x}}) ELSE [] END AS ents FROM js),
+    ms AS (SELECT *, map_from_entries(list_transform(list_filter(['A', 'B', 'C', 'D'], lambda l: len(list_filter(ents, lambda e: e.o = l)) > 0),
+        lambda l: {{'k': l, 'v': list_transform([list_filter(ents, lambda e: e.o = l)[-1].v], lambda x: CASE WHEN json_type(x) = 'OBJECT' THEN {_yes("coalesce(json_extract(x, '$.verdict'), json_extract(x, '$.v'))")} ELSE {_yes("x")} END)[1]}})) AS judged,
+        coalesce({", ".join([_said("$.answer"), *(_said(f"$.answer.{k}") for k in REPLY_NAMES), _letter_keys("$.answer"), *(_said(f"$.{k}") for k in REPLY_NAMES[1:]), _letter_keys("$")])},
+            nullif(regexp_extract(raw, '(?i)"answer"\s*:\s*"([A-D]+)"', 1), ''), nullif(regexp_extract(raw, '(?i)(?:答案|answer)\s*[:：]?\s*([A-D]{{1,4}})', 1), ''), raw, '') AS said FROM es)"""
 PROFILES = f"""profiles AS (SELECT doc_id, term, count(*) AS cnt FROM (SELECT doc_id, unnest(list_concat({_tokens("concat_ws(' ', doc_id, title, array_to_string(keywords, ' '))")}, {_structured("text")})) AS term FROM corpus) GROUP BY ALL)"""
 
 
@@ -224,6 +249,8 @@ SQL: dict[str, str] = {
         SELECT o_orderpriority, year, amount, round((amount - lag(amount) OVER w) / abs(lag(amount) OVER w) * 100, 4) AS yoy_pct, round(amount / sum(amount) OVER (PARTITION BY o_orderpriority) * 100, 4) AS share_pct
         FROM y WINDOW w AS (PARTITION BY o_orderpriority ORDER BY year)""",
     "normalize_answers": f"""WITH {QUESTIONS}, {ANSWERS} SELECT replies.answer_id, {_letters("replies.answer", "replies.option_judgements")} AS letters FROM replies JOIN asks ON replies.qid = asks.qid""",
+    "parse_replies": f"""WITH {QUESTIONS}, {ANSWERS}, {PARSED}
+        SELECT answer_id, v IS NOT NULL AS is_json, {_letters("said", "judged")} AS letters, coalesce(array_to_string(list_filter(['A', 'B', 'C', 'D'], lambda l: coalesce(judged[l], false)), ''), '') AS judged_true FROM ms""",
     "eval_breakdown": f"""WITH {SCORED}, keyed AS (SELECT pred = gold AS ok, coalesce(domain, '') AS d, coalesce(answer_format, '') AS f, coalesce(type, '') AS t FROM scored)
         SELECT CASE WHEN grouping(d) = 0 THEN 'domain:' || d WHEN grouping(f) = 0 THEN 'format:' || f WHEN grouping(t) = 0 THEN 'type:' || t ELSE 'overall' END AS key,
             count(*) AS total, count(*) FILTER (ok) AS correct, round(count(*) FILTER (ok) / count(*), 6) AS accuracy
