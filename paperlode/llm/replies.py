@@ -9,6 +9,7 @@ how the reply ends label the other defects.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -36,6 +37,7 @@ FRAME = {"null", "none", "na", "n", "a", "json", "answer", "reason", "judgements
 #: How a question asks for the language of the reasons.
 ASKED = {"zh": r"reasons in chinese|用中文|in chinese", "en": r"用英文|reasons in english|in english|用英语"}
 _FOLD = str.maketrans(LOOKALIKES)
+_BETWEEN = re.compile(r"[\W_]+")
 _FOLDED = regex.compile(f"[{regex.escape(''.join(LOOKALIKES))}]")
 _ANSWER = regex.compile(r"(?<![A-Za-z&./])(?:[A-D](?:\s*[,、，和&]\s*)?){1,4}(?![A-Za-z&])")
 _ECHO = regex.compile(r"[“\"「『](.+?)[”\"」』]", regex.S)
@@ -155,7 +157,7 @@ def latin_look(text: str) -> str:
 
 def fold(text: str) -> str:
     """Letters and digits only, in one case, width and look."""
-    return "".join(filter(str.isalnum, latin_look(narrow(text)).casefold()))
+    return _BETWEEN.sub("", latin_look(narrow(text)).casefold())
 
 
 def shown(text: str) -> str:
@@ -230,15 +232,16 @@ def taken_apart(raw: str | None, question: str | None, options: list[str]) -> di
     """shape (empty, truncated, copy, plain), answered, reasons and opening of one reply."""
     asked = fold(question or "")
     out = {"shape": "plain", "answered": False, "reasons": "", "opening": "", "asked": asked}
-    text = visible(_FENCE.sub("", visible(raw or "")))
-    words = {w for w in rx(r"[^\p{L}]+").split(text.lower()) if w}
+    text = _FENCE.sub("", visible(raw or "")).strip()
     try:
+        if text[:1].isalpha() and text not in ("null", "true", "false"):
+            raise ValueError  # prose
         value = json.loads(text)
         if not leaves(value):
             return out | {"shape": "empty"}
     except ValueError:
         value = None
-        if words <= FRAME and not rx(r"\p{N}").search(text) and not _ANSWER.search(text):
+        if all(m[0] in FRAME for m in rx(r"\p{L}+").finditer(text.lower())) and not rx(r"\p{N}").search(text) and not _ANSWER.search(text):
             return out | {"shape": "empty"}
     folded = fold(" ".join(leaves(value)) if isinstance(value, (dict, list)) else text)
     at = folded.find(asked) if len(asked) >= 8 else -1
@@ -286,8 +289,8 @@ def taken_apart(raw: str | None, question: str | None, options: list[str]) -> di
 def masked(opening: str, question: str | None) -> str:
     """The first words of an opening; numbers, and what also stands in its question, give way to one sign."""
     ask = narrow(question or "").lower()
-    asked = set(rx(r"[\p{L}\p{N}]+").findall(ask))
     words = rx(r"\p{Han}|[\p{Hiragana}\p{Katakana}]|\d[\d.,]*|[\p{L}\p{N}]+").findall(narrow(opening).lower()[: 12 * OPENING])[:OPENING]
+    asked = set(rx(r"[\p{L}\p{N}]+").findall(ask)) if any(len(w) >= 4 for w in words) else ()
     hide = [w[0].isdigit() or (len(w) >= 4 and w in asked) for w in words]
     for i, (w, after) in enumerate(zip(words, words[1:])):
         if (w + after if "㐀" <= w <= "鿿" else w + " " + after) in ask:
@@ -327,8 +330,9 @@ def replies(answers: DataFrame, questions: DataFrame, documents: DataFrame | Non
         rows, known = [], shared.value
         for r, q, o in zip(raw, question, options):
             x = taken_apart(r, q, [] if o is None else [v for v in o if v])
-            other = len(x["reasons"]) >= 8 and len(fold(x["reasons"])) >= 8 and foreign(x["reasons"], expected_language(q, known), known)
-            rows.append((x["asked"], words_of(q) if x["shape"] == "plain" and not x["answered"] else "", x["shape"], x["answered"], masked(x["opening"], q) if x["opening"] else "", other))
+            plain = x["shape"] == "plain"
+            other = plain and x["answered"] and len(x["reasons"]) >= 8 and len(fold(x["reasons"])) >= 8 and foreign(x["reasons"], expected_language(q, known), known)
+            rows.append((x["asked"], words_of(q) if plain and not x["answered"] else "", x["shape"], x["answered"], masked(x["opening"], q) if plain and x["opening"] else "", other))
         return pd.DataFrame(rows, columns=["prompt", "asked", "shape", "answered", "opening", "other_language"])
 
     both = a.join(q, "qid", "left")
