@@ -16,27 +16,38 @@ JUDGED = "array<struct<option: string, verdict: boolean, reason: string, evidenc
 Client = Callable[[list[str]], list[str]]
 
 
-def render(rows: DataFrame, templates: DataFrame, guidance: DataFrame, slots: list[str], key: str = "kind") -> DataFrame:
-    """Add prompt: the template of a row's kind, or `default`, with {slot} replaced by the columns of that name.
+def render(rows: DataFrame, templates: DataFrame, guidance: DataFrame, slots: list[str], key: str = "kind", by_kind: DataFrame | None = None, system: str = "") -> DataFrame:
+    """Add prompt: the template of a row's kind, or `default`, with {slot} replaced by the columns of that name; and, where
+    there is one, the system prompt as a column of its own.
 
-    templates (key, template) and guidance (domain, guidance) are settings of a few rows, so they are broadcast.
+    {guidance} and {domain_guidance} are what guidance (domain, guidance) says for the domain, {question_guidance} what
+    by_kind (kind, guidance) says for the kind, each by its row `default` otherwise. These are settings of a few rows, so they
+    are broadcast.
     """
     of = lambda df, k, v: df.select(F.col(k).alias("_k"), F.col(v).alias("_v"))
     default = lambda df, k, v: of(df, k, v).filter("_k = 'default'").select(F.col("_v").alias("_d"))
+    settings = [(templates, "key", "template", key, "_template"), (guidance, "domain", "guidance", "domain", "_guidance")]
+    settings += [] if by_kind is None else [(by_kind, "kind", "guidance", key, "_by_kind")]
     out = rows
-    for df, k, v, on in ((templates, "key", "template", key), (guidance, "domain", "guidance", "domain")):
+    for df, k, v, on, name in settings:
         first = default(df, k, v).limit(1)
         out = out.join(F.broadcast(of(df, k, v)), F.col(on) == F.col("_k"), "left").join(F.broadcast(first), F.lit(True), "left")
-        out = out.withColumn(f"_{v}", F.coalesce("_v", "_d", F.lit(""))).drop("_k", "_v", "_d")
-    prompt = F.replace(F.col("_template"), F.lit("{guidance}"), F.col("_guidance"))
+        out = out.withColumn(name, F.coalesce("_v", "_d", F.lit(""))).drop("_k", "_v", "_d")
+    prompt = F.col("_template")
+    for slot, c in (("guidance", "_guidance"), ("domain_guidance", "_guidance"), ("question_guidance", "_by_kind" if by_kind is not None else "")):
+        prompt = F.replace(prompt, F.lit("{" + slot + "}"), F.col(c) if c else F.lit(""))
     for slot in slots:
         prompt = F.replace(prompt, F.lit("{" + slot + "}"), F.coalesce(F.col(slot).cast("string"), F.lit("")))
-    return out.withColumn("prompt", prompt).drop("_template", "_guidance")
+    made = out.withColumn("prompt", prompt).drop("_template", "_guidance", "_by_kind")
+    return made.withColumn("system", F.lit(system)) if system.strip() else made
 
 
-def validation_prompt(prompt: Column, answer: Column, output: Column, most: int = 3000) -> Column:
-    """A prompt that asks to check a first answer."""
-    return F.concat_ws("\n\n", prompt, F.concat(F.lit("answer: "), F.coalesce(answer, F.lit(""))), F.substring(F.coalesce(output, F.lit("")), 1, most))
+def validation(rows: DataFrame, template: str, guidance: DataFrame, slots: list[str], most: int = 3000, **settings: object) -> DataFrame:
+    """Prompts that ask to check a first answer: rows with first_answer and first_output, the output cut to its first
+    characters, in one template for all kinds, which has these two as slots beside the others."""
+    one = rows.sparkSession.createDataFrame([("default", template)], "key string, template string")
+    cut = rows.withColumn("first_answer", F.coalesce("first_answer", F.lit(""))).withColumn("first_output", F.substring(F.coalesce("first_output", F.lit("")), 1, most))
+    return render(cut, one, guidance, [*slots, "first_answer", "first_output"], **settings)
 
 
 def mock(prompts: list[str]) -> list[str]:

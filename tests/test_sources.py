@@ -84,6 +84,10 @@ def test_prompt_and_call(spark):
     made = prompting.render(rows, templates, guidance.selectExpr("domain", "guidance"), ["question"])
     got = {r["qid"]: r["prompt"] for r in made.collect()}
     assert got == {"q": "C Q? l", "r": "D  g"}
+    by_kind = spark.createDataFrame([("default", "any"), ("calculation", "count")], "kind string, guidance string")
+    checked = prompting.validation(rows.selectExpr("*", "'A' AS first_answer", "repeat('x', 5000) AS first_output"), "{question_guidance}|{domain_guidance}|{first_answer}|{first_output}", guidance, [], by_kind=by_kind, system="be exact")
+    assert {tuple(r["prompt"].split("|")[:3]) for r in checked.collect()} == {("count", "l", "A"), ("any", "g", "A")}
+    assert {(len(r["prompt"].split("|")[3]), r["system"]) for r in checked.collect()} == {(3000, "be exact")}
 
     def broken(prompts):
         raise RuntimeError("down")
