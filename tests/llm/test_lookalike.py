@@ -28,6 +28,14 @@ def test_against_plain_folding(spark):
         assert unicodedata.normalize("NFC", form).replace("…", "...") == want.replace("…", "...") or "한" in text
 
 
+def test_texts_that_need_no_exploding_have_the_same_form(spark, monkeypatch):
+    """Texts of frequent characters alone are folded in place; taken apart into code points they have the same form."""
+    texts = ["plain ascii (nothing) 5%", "条款（一）：不得转让，违者“除名”；见《办法》…", "Größe über 3 %—Café", "a，b：c；d！e？f（g）％...", "净利润为5.4亿元。\r\n次年…", "", "第——章"]
+    folded = forms(spark, texts)
+    monkeypatch.setattr(L, "PLAIN", r"\x{7F}")
+    assert forms(spark, texts) == folded
+
+
 def test_edges(spark):
     long = "很长的文本，" * 20_000 + "Ｘ"
     got = forms(spark, [None, "", "​", long])
