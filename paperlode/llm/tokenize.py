@@ -23,7 +23,8 @@ from paperlode.session import spread
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PIECES_KEPT = 200_000
+#: Pieces and pairs of tokens whose answers a worker keeps at most.
+PIECES_KEPT, PAIRS_KEPT = 200_000, 1_000_000
 
 
 class ByteBpe:
@@ -87,6 +88,8 @@ class ByteBpe:
                 before, a = a, undo_a[1]
             else:
                 before, b = b + 1, undo_b[0]
+        if len(self.pair_ok) >= PAIRS_KEPT:
+            self.pair_ok.clear()
         self.pair_ok[(left, right)] = ok
         return ok
 
