@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from paperlode import config
 from paperlode.config import Chunking
 from paperlode.functions import text as T
+from paperlode.session import cut_lineage
 
 
 def limits(domain: Column, settings: Chunking = Chunking()) -> tuple[Column, Column]:
@@ -133,7 +134,7 @@ def chunk(docs: DataFrame, settings: Chunking = Chunking()) -> DataFrame:
     Only sizes and boundary flags go through the fold; texts are joined where the chunks are known. Documents shorter
     than the least size give no chunk; null texts count as empty.
     """
-    rows = sections(split_large(blocks(docs), settings))
+    rows = cut_lineage(sections(split_large(blocks(docs), settings)))  # read for the plan and for the texts
     most, over = limits(F.col("domain"), settings)
 
     @F.pandas_udf("array<array<int>>")
