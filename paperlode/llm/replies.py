@@ -386,20 +386,21 @@ def rare_pairs(s: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, leader) of texts in different classes that share one of their rarest shingles and are of like size."""
     rows = s.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
-    ranked = rows.join(often.filter("often > 1"), "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    ranked = rows.join(often.filter("often > 1").hint("merge"), "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     order = Window.partitionBy("id").orderBy("often", "shingle")
     first = F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9) + 1
     # a shingle that no other text has takes its place in the order, but meets nobody
     heads = ranked.withColumn("_r", F.row_number().over(order)).filter((F.col("_r") <= first) & (F.col("often") > 1))
-    heads = cut_lineage(heads.join(labels, "id").select("shingle", "id", "n", "class_id"))
+    heads = cut_lineage(heads.join(labels.hint("merge"), "id").select("shingle", "id", "n", "class_id"))
     other = heads.select("shingle", F.col("id").alias("leader"), F.col("n").alias("_n"), F.col("class_id").alias("_class"))
-    near = heads.join(other, "shingle").filter("id > leader AND class_id <> _class").filter((F.col("n") >= SIMILAR * F.col("_n")) & (F.col("_n") >= SIMILAR * F.col("n")))
+    near = heads.join(other.hint("merge"), "shingle").filter("id > leader AND class_id <> _class").filter((F.col("n") >= SIMILAR * F.col("_n")) & (F.col("_n") >= SIMILAR * F.col("n")))
     return near.select("id", "leader").distinct()
 
 
 def similar(pairs: DataFrame, s: DataFrame) -> DataFrame:
     """Those of the pairs (id, leader) whose shingles are verified to be similar."""
-    pairs = pairs.join(s.select("id", "shingles"), "id").join(s.select(F.col("id").alias("leader"), F.col("shingles").alias("other")), "leader")
+    # both sides grow with the input, so neither is broadcast, however small it is here
+    pairs = pairs.join(s.select("id", "shingles").hint("merge"), "id").join(s.select(F.col("id").alias("leader"), F.col("shingles").alias("other")).hint("merge"), "leader")
     few, many = F.least(F.size("shingles"), F.size("other")), F.greatest(F.size("shingles"), F.size("other"))
     alike = F.size(F.array_intersect("shingles", "other")) >= SIMILAR * F.size(F.array_union("shingles", "other"))
     return cut_lineage(pairs.filter((few >= SIMILAR * many) & alike).select("id", "leader"))
@@ -412,12 +413,12 @@ def followed(links: DataFrame, s: DataFrame) -> DataFrame:
     labels = links.groupBy("id").agg(F.least("id", F.min("to")).alias("class_id"))
     while True:
         of_class = labels.select(F.col("id").alias("class_id"), F.col("class_id").alias("_next"))
-        near = links.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("class_id").alias("lower"))
-        new = labels.join(near, "id").join(of_class, "class_id").select("id", F.least("class_id", "lower", "_next").alias("class_id"), (F.least("lower", "_next") < F.col("class_id")).alias("moved"))
+        near = links.join(labels.withColumnRenamed("id", "to").hint("merge"), "to").groupBy("id").agg(F.min("class_id").alias("lower"))
+        new = labels.join(near.hint("merge"), "id").join(of_class.hint("merge"), "class_id").select("id", F.least("class_id", "lower", "_next").alias("class_id"), (F.least("lower", "_next") < F.col("class_id")).alias("moved"))
         new = cut_lineage(new)
         labels = new.select("id", "class_id")
         if new.filter("moved").isEmpty():
-            return s.select("id").join(labels, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+            return s.select("id").join(labels.hint("merge"), "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 
 
 def templates(parsed: DataFrame) -> DataFrame:
