@@ -24,7 +24,7 @@ TOKENIZER_DIR = "/opt/tokenizers"
 #: Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces and pairs of tokens whose answers a worker keeps at most.
-PIECES_KEPT, PAIRS_KEPT = 200_000, 1_000_000
+PIECES_KEPT, PAIRS_KEPT = 50_000, 250_000
 
 
 class ByteBpe:
@@ -44,7 +44,7 @@ class ByteBpe:
         self.automaton.make_automaton()
         self.halves = self._halves(ranks)
         self.joined = {pair: i for i, pair in self.halves.items()}
-        self.pair_ok: dict[tuple[int, int], bool] = {}
+        self.pair_ok: dict[int, bool] = {}
         self.pieces: dict[str, list[int]] = {}
 
     @staticmethod
@@ -71,7 +71,8 @@ class ByteBpe:
         Both tokens are taken apart from the last merge to the first. At each step the two parts that face each
         other across the border must not have a merge that comes before the merges already undone.
         """
-        known = self.pair_ok.get((left, right))
+        pair = left << 32 | right  # a number takes a third of a tuple's memory
+        known = self.pair_ok.get(pair)
         if known is not None:
             return known
         a, b, before, ok = left, right, 1 << 30, True
@@ -90,7 +91,7 @@ class ByteBpe:
                 before, b = b + 1, undo_b[0]
         if len(self.pair_ok) >= PAIRS_KEPT:
             self.pair_ok.clear()
-        self.pair_ok[(left, right)] = ok
+        self.pair_ok[pair] = ok
         return ok
 
     def _piece(self, piece: str) -> list[int]:

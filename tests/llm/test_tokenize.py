@@ -44,3 +44,17 @@ def test_round_trip(pair):
     by_id = {i: t for t, i in pair[0].ids.items()}
     text = "合同 contract №5 — naïve"
     assert "".join(by_id[i] for i in pair[0].encode(text)).encode("latin-1").decode() == text
+
+
+def test_memos_are_small_and_change_nothing(monkeypatch):
+    """Answers for pairs are kept under one number, and forgetting them gives the same ids."""
+    from paperlode.llm import tokenize as own
+
+    text = "The committee reviewed the amortisation schedule；投保人退保后终止 9l,2O0 naïve" * 3
+    whole = own.ByteBpe()
+    want = whole.encode(text)
+    monkeypatch.setattr(own, "PAIRS_KEPT", 3)
+    monkeypatch.setattr(own, "PIECES_KEPT", 0)
+    short = own.ByteBpe()
+    assert short.encode(text) == want and len(short.pair_ok) <= 3 and not short.pieces
+    assert whole.pair_ok and all(isinstance(k, int) for k in whole.pair_ok)
