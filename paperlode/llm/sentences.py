@@ -2,8 +2,8 @@
 
 A linear-chain model tags each character as boundary or inside and is decoded with Viterbi; characters that no mark,
 blank or learned gap makes a possible end are inside by construction. All weights, of what a place looks like and of
-neighbouring tags, are trained by an averaged structured perceptron on a bounded sample of the documents and on a few
-lines that are labelled here. Labels come from places that need no judging (ends of paragraphs, marks before a small
+neighbouring tags, are trained by averaged structured perceptrons on all documents and on a few lines that are labelled
+here: one for each shard of the documents, of which the model is the mean. Labels come from places that need no judging (ends of paragraphs, marks before a small
 letter, marks inside a quotation) and, for stops, from what stands before and after the stops that end paragraphs
 against all stops; places that stay in doubt carry no label and are filled in by the model as it learns. For scripts
 without marks the model is trained on text whose marks are stripped: the letters around a blank in Thai and its like,
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 
 from paperlode.llm.lookalike import LOOKALIKES
 from paperlode.llm.patterns import rx
-from paperlode.session import spread
+from paperlode.session import cut_lineage, spread
 
-#: The model is fitted on at most about so many documents, taken by a hash of their id, and so many characters of each.
-TRAIN_DOCS, TRAIN_CHARS = 8_000, 5_000
-#: Stretches with their marks stripped that gaps are learned from, at most, and rounds of training.
-TRAIN_STRIPPED, ROUNDS = 300, 4
+#: Characters of the documents of a shard, about, and rounds of training.
+SHARD_CHARS, ROUNDS = 2_000_000, 4
 MIN_WRAP, SMOOTH = 28, 0.2
+#: By so much the weight that all gaps share moves for each that is wrong.
+GAP_STEP = 7
 #: A stop is taken for an end, or for none, in training where the log evidence is above the first or below the second.
 SURE_END, SURE_INSIDE = -1.0, -3.0
 #: Closing marks by their opening mark.
@@ -356,12 +357,12 @@ def label(x: Place, evidence: dict[str, float]) -> int | None:
 
 def examples(raw: str) -> tuple[list[list[Place]], list[Place], list[str]]:
     """(places by stretch, places between paragraphs, stretches of several sentences in scripts without blanks) of a text."""
-    text, _ = cleaned(raw[:TRAIN_CHARS])
+    text, _ = cleaned(raw)
     inside, between, plain = [], [], []
     stretches = runs(text)
     for n, (a, b, paragraph) in enumerate(stretches):
         inside.append([x for _, x in described(text, a, b)])
-        if _cjk(text[a]) and len(rx(r"[。！？]").findall(text[a:b])) > 1 and len(plain) < 3:
+        if _cjk(text[a]) and len(rx(r"[。！？]").findall(text[a:b])) > 1:
             plain.append(text[a:b])
         if not paragraph or n + 1 == len(stretches):
             continue
@@ -377,33 +378,53 @@ def examples(raw: str) -> tuple[list[list[Place]], list[Place], list[str]]:
     return inside, between, plain
 
 
-def evidence_of(inside: list[list[Place]], between: list[Place]) -> dict[str, float]:
-    """Log of the share of each word among the ends of paragraphs over its share among all places of the kind."""
-    known, every, totals = Counter(), Counter(), Counter()
-    for counts, name, rows in ((known, "known", between), (every, "every", [x for seq in inside for x in seq if x.follow != "end"])):
+def counts_of(inside: list[list[Place]], between: list[Place]) -> Counter[str]:
+    """How often each word stands among the ends of paragraphs (k) and among all places of its kind (e), and their totals."""
+    counts: Counter[str] = Counter()
+    for name, rows in (("k", between), ("e", [x for seq in inside for x in seq if x.follow != "end"])):
         for x in rows:
             if x.behind:
-                totals[name, x.kind] += 1
-                counts.update([f"{x.kind}<{w}" for w in x.behind] + [f"{x.kind}>{w}" for w in x.ahead])
+                counts.update([f"{name}={x.kind}"] + [f"{name}:{x.kind}<{w}" for w in x.behind] + [f"{name}:{x.kind}>{w}" for w in x.ahead])
+    return counts
+
+
+def evidence_of(counts: dict[str, int]) -> dict[str, float]:
+    """Log of the share of each word among the ends of paragraphs over its share among all places of the kind."""
     out = {}
-    for key in {*known, *every}:
+    for key in {k[2:] for k in counts if k[1] == ":"}:
         kind = key[: key.index("<" if "<" in key[:6] else ">")]
-        e, o = totals["known", kind] + 1, totals["every", kind] + 1
-        out[key] = min(3.0, max(-8.0, math.log((known[key] + SMOOTH) / e) - math.log((every[key] + SMOOTH) / o)))
+        e, o = counts.get(f"k={kind}", 0) + 1, counts.get(f"e={kind}", 0) + 1
+        out[key] = min(3.0, max(-8.0, math.log((counts.get(f"k:{key}", 0) + SMOOTH) / e) - math.log((counts.get(f"e:{key}", 0) + SMOOTH) / o)))
     return out
 
 
-def stripped(plain: list[str]) -> list[tuple[list[Place], list[int]]]:
-    """Stretches without their marks: every gap as a place, with a boundary where a mark that ends a sentence stood."""
-    out = []
-    for part in plain:
-        text, ends = "", set()
-        for piece in rx(r"[。！？]+[”」』]*").split(part):
-            text += rx(r"[^\p{L}\p{N}]").sub("", piece)
-            ends.add(len(text))
-        places_of = gaps(text, 0, len(text))
-        out.append(([x for _, x in places_of], [int(i in ends) for i, _ in places_of]))
-    return out
+def stripped(part: str) -> tuple[str, np.ndarray]:
+    """A stretch without its marks, and for every gap of it 1 where a mark that ends a sentence stood."""
+    text, ends = "", []
+    for piece in rx(r"[。！？]+[”」』]*").split(part):
+        text += rx(r"[^\p{L}\p{N}]").sub("", piece)
+        ends.append(len(text))
+    tags = np.zeros(max(len(text) - 1, 0), dtype=np.int64)
+    tags[[e - 1 for e in ends if 0 < e < len(text)]] = 1
+    return text, tags
+
+
+def grams(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct features of the letters around all gaps of texts, as of `features`, and for each text their numbers, six for a gap."""
+    keys = [np.zeros((0, 6), dtype=np.uint64)]
+    for text in texts:
+        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        n, i = len(cp), np.arange(1, len(cp))
+        width = np.uint64(21)
+        behind = [cp[i - 1]]
+        ahead = [cp[i]]
+        for k in (1, 2):  # shorter at the ends of the text
+            behind.append(np.where(i > k, cp[np.maximum(i - k - 1, 0)] << np.uint64(21 * k) | behind[-1], behind[-1]))
+            ahead.append(np.where(i + k < n, ahead[-1] << width | cp[np.minimum(i + k, n - 1)], ahead[-1]))
+        keys.append(np.stack([*behind, *(x | np.uint64(1 << 63) for x in ahead)], axis=1))
+    every, number = np.unique(np.concatenate(keys), return_inverse=True)
+    names = ["<>"[key >> 63] + "".join(chr(c) for c in (key >> 42 & 0x1FFFFF, key >> 21 & 0x1FFFFF, key & 0x1FFFFF) if c) for key in every.tolist()]
+    return names, np.split(number.reshape(-1, 6), np.cumsum([len(k) for k in keys[1:]])[:-1]) if texts else []
 
 
 class Model:
@@ -441,20 +462,18 @@ def viterbi(scores: list[float], steps: tuple[float, ...] | list[float], fixed:
     return tags[::-1]
 
 
-def train(texts: list[tuple[list[list[Place]], list[Place], list[str]]]) -> Model:
-    """The model of sampled examples and of the labelled lines, by an averaged perceptron over whole stretches."""
+def fitted(texts: list[tuple[list[list[Place]], list[Place], list[str]]], evidence: dict[str, float]) -> dict[str, float]:
+    """Weights by feature, and of steps, of the examples of texts and of the labelled lines, by an averaged perceptron over whole stretches."""
     texts = [*texts, *(examples(line.replace("|", "\n\n")) for line in LABELLED)]
     inside, between = [seq for x, _, _ in texts for seq in x if seq], [p for _, x, _ in texts for p in x]
-    evidence = evidence_of(inside, between)
     chains = [(seq, [label(x, evidence) for x in seq]) for seq in inside] + [([x], [1]) for x in between]
     for line in LABELLED:
         parts, joined = line.split("|"), line.replace("|", "" if _cjk(line[0]) else " ")
         ends = {sum(len(p) + (not _cjk(line[0])) for p in parts[: n + 1]) - (not _cjk(line[0])) for n in range(len(parts))}
         spots = described(joined, 0, len(joined))
         chains += [([x for _, x in spots], [int(end in ends) for end, _ in spots])] * 3
-    plain = [p for _, _, x in texts for p in x][:TRAIN_STRIPPED]
-    chains += stripped(plain)
-    lengths = sorted(len(piece) for p in plain for piece in rx(r"[。！？]+[”」』]*").split(p))
+    plain = [x for _, _, own in texts for x in map(stripped, own) if len(x[1])]
+    names, codes = grams([text for text, _ in plain])
     number: dict[str, int] = {}
     seen: dict[Place, list[int]] = {}
 
@@ -463,50 +482,104 @@ def train(texts: list[tuple[list[list[Place]], list[Place], list[str]]]) -> Mode
             seen[x] = [number.setdefault(f, len(number)) for f in features(x, evidence)]
         return seen[x]
 
-    rows = [([of(x) for x in seq], tags, seq[0].kind == "gap") for seq, tags in chains]
+    rows = [([of(x) for x in seq], tags) for seq, tags in chains]
     w, late, at = [0.0] * len(number), [0.0] * len(number), 1
-    steps, steps_late = {True: [0.0] * 4, False: [0.0] * 4}, {True: [0.0] * 4, False: [0.0] * 4}  # of gaps, of other places
+    of_gap, gap_late = np.zeros(len(names) + 1), np.zeros(len(names) + 1)  # the last is that of every gap
+    steps, steps_late = {True: np.zeros(4), False: np.zeros(4)}, {True: np.zeros(4), False: np.zeros(4)}  # of gaps, of other places
+    before_of = lambda tags: np.concatenate([[0], tags[:-1]])
     order = np.random.default_rng(3)
     for _ in range(ROUNDS):
-        for n in order.permutation(len(rows)):
-            seq, tags, gap = rows[n]
-            scores = [sum([w[f] for f in fs]) for fs in seq]
-            got = viterbi(scores, steps[gap])
-            if all(t is None or t == g for t, g in zip(tags, got)):
-                at += 1
-                continue
-            gold = viterbi(scores, steps[gap], tags)
-            was_gold = was_got = 0
-            for fs, g, h in zip(seq, gold, got):
-                if g != h:
-                    d = g - h
-                    for f in fs:
-                        w[f] += d
-                        late[f] += d * at
-                for k, d in ((2 * was_gold + g, 1), (2 * was_got + h, -1)):
-                    steps[gap][k] += d
-                    steps_late[gap][k] += d * at
-                was_gold, was_got = g, h
+        for n in order.permutation(len(rows) + len(plain)):
+            gap = n >= len(rows)
+            if gap:
+                mine, gold = codes[n - len(rows)], plain[n - len(rows)][1]
+                got = np.array(viterbi((of_gap[mine].sum(axis=1) + of_gap[-1]).tolist(), steps[True].tolist()))
+                wrong = np.flatnonzero(gold != got)
+                if len(wrong):
+                    d = (gold - got)[wrong]
+                    for sums, by in ((of_gap, 1), (gap_late, at)):
+                        np.add.at(sums, mine[wrong], d[:, None] * float(by))
+                        sums[-1] += GAP_STEP * d.sum() * by
+            else:
+                seq, tags = rows[n]
+                scores, now = [sum([w[f] for f in fs]) for fs in seq], steps[False].tolist()
+                got = viterbi(scores, now)
+                wrong = not all(t is None or t == g for t, g in zip(tags, got))
+                if wrong:
+                    gold = viterbi(scores, now, tags)
+                    for fs, g, h in zip(seq, gold, got):
+                        if g != h:
+                            for f in fs:
+                                w[f] += g - h
+                                late[f] += (g - h) * at
+                    gold, got = np.array(gold), np.array(got)
+            if gap and len(wrong) or not gap and wrong:
+                d = np.bincount(2 * before_of(gold) + gold, minlength=4) - np.bincount(2 * before_of(got) + got, minlength=4)
+                steps[gap] += d
+                steps_late[gap] += d * at
             at += 1
-    mean = lambda now, sums: [x - y / at for x, y in zip(now, sums)]
-    weights = {f: x for f, x in zip(number, mean(w, late)) if x}
-    longest = lengths[-1 - len(lengths) // 1000] if lengths else 1 << 30
-    return Model(weights, {gap: mean(steps[gap], steps_late[gap]) for gap in steps}, evidence, longest)
+    out = {f: x - y / at for f, x, y in zip(number, w, late) if x or y}
+    out |= {f: x - y / at for f, x, y in zip([*names, "gap"], of_gap.tolist(), gap_late.tolist()) if x or y}
+    return out | {f"={int(gap)}{k}": float(steps[gap][k] - steps_late[gap][k] / at) for gap in steps for k in range(4)}
 
 
-def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """The model, fitted on a sample of at most about train_docs documents; their places are described in tasks."""
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    n = rows.count()
-    if n > train_docs:
-        rows = rows.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < int(train_docs / n * 2**63))
+def piece_lengths(plain: list[str]) -> Counter[int]:
+    return Counter(len(piece) for p in plain for piece in rx(r"[。！？]+[”」』]*").split(p))
 
-    def describe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"found": [pickle.dumps(examples(t)) for t in part["text"]]})
 
-    found = spread(rows).select("doc_id", "text").mapInPandas(describe, "found binary").collect()
-    return train([pickle.loads(r["found"]) for r in found])
+def model_of(weights: dict[str, float], evidence: dict[str, float], lengths: dict[int, int]) -> Model:
+    """The model of mean weights; a stretch is long that is longer than all but one in a thousand sentences."""
+    above, longest = sum(lengths.values()) // 1000, 1 << 30
+    for size in sorted(lengths, reverse=True):
+        longest, above = size, above - lengths[size]
+        if above < 0:
+            break
+    steps = {gap: [weights.get(f"={int(gap)}{k}", 0.0) for k in range(4)] for gap in (True, False)}
+    return Model({f: x for f, x in weights.items() if x and f[0] != "="}, steps, evidence, longest)
+
+
+def labelled_counts() -> Counter[str]:
+    own = [examples(line.replace("|", "\n\n")) for line in LABELLED]
+    return counts_of([seq for x, _, _ in own for seq in x], [p for _, x, _ in own for p in x])
+
+
+def train(texts: list[tuple[list[list[Place]], list[Place], list[str]]]) -> Model:
+    """The model of the examples of texts and of the labelled lines, all in one shard."""
+    evidence = evidence_of(counts_of([seq for x, _, _ in texts for seq in x], [p for _, x, _ in texts for p in x]) + labelled_counts())
+    return model_of(fitted(texts, evidence), evidence, piece_lengths([p for _, _, x in texts for p in x]))
+
+
+def learn(docs: DataFrame) -> Model:
+    """The model, of all documents: words are counted over all of them, and each shard of them fits weights in a task, of
+    which the mean is taken. Shards are told by a hash of the id, so that the model does not rest on how tables are split."""
+    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    shards = max(1, math.ceil((rows.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0) / SHARD_CHARS))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartition(shards, "shard")
+
+    def describe(part: pd.DataFrame) -> pd.DataFrame:
+        texts = [examples(t) for t in part.sort_values(["doc_id", "text"])["text"]]
+        counts = counts_of([seq for x, _, _ in texts for seq in x], [p for _, x, _ in texts for p in x])
+        counts.update({f"l={size}": n for size, n in piece_lengths([p for _, _, x in texts for p in x]).items()})
+        return pd.DataFrame({"found": [zlib.compress(pickle.dumps(texts), 1)], "keys": [list(counts)], "ns": [list(counts.values())]})
+
+    kept = cut_lineage(rows.groupBy("shard").applyInPandas(describe, "found binary, keys array<string>, ns array<bigint>"))
+    summed = kept.select(F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("ns").alias("n")))).groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    counts = Counter(dict(zip(summed["key"], summed["n"].tolist())))
+    lengths = {int(k[2:]): n for k, n in counts.items() if k.startswith("l=")}
+    evidence = evidence_of(Counter({k: n for k, n in counts.items() if not k.startswith("l=")}) + labelled_counts())
+    shared = docs.sparkSession.sparkContext.broadcast(evidence)
+
+    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for found in part["found"]:
+                weights = fitted(pickle.loads(zlib.decompress(found)), shared.value)
+                yield pd.DataFrame({"feature": list(weights), "w": list(weights.values())})
+
+    # rounded, as sums of another order differ in their last digits
+    mean = F.round(F.sum("w") / max(kept.count(), 1), 9).alias("w")
+    weights = kept.select("found").mapInPandas(fit, "feature string, w double").groupBy("feature").agg(mean).toPandas()
+    shared.unpersist()
+    return model_of(dict(zip(weights["feature"], weights["w"])) or fitted([], evidence), evidence, lengths)
 
 
 def decode(text: str, a: int, b: int, model: Model) -> list[int]:

@@ -81,3 +81,14 @@ def test_held_out_abbreviations(spark):
     rows = [(i, "\n\n".join(" ".join(both(i, k)) for k in range(4)), 0) for i in range(80)]
     got = S.sentences(spark.createDataFrame(rows, DOC)).filter("doc_id = 3").count()
     assert got == 8
+
+
+def test_all_documents_are_learned_from(spark, monkeypatch):
+    """Words of every document, also far down in it, and all stretches whose marks are stripped count, in whatever shards."""
+    monkeypatch.setattr(S, "SHARD_CHARS", 100_000, raising=False)
+    name = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04d}")
+    rows = [(i, f"It ended at Zx{name(i)}.\n\nNext.", 0) for i in range(8_400)]
+    rows.append((9_000, "Alpha beta. " * 500 + "It ended at Zxfar.\n\nNext.\n\n" + "\n\n".join("董事会批准。" + "甲" * (60 + i) + "。" for i in range(5)), 0))
+    model = S.learn(spark.createDataFrame(rows, DOC))
+    assert {f"stop<zx{name(i)}" for i in range(8_400)} | {"stop<zxfar"} <= set(model.evidence)
+    assert model.longest == 64
