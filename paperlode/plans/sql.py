@@ -225,8 +225,8 @@ SQL: dict[str, str] = {
     "term_stats": f"""WITH {CHUNKS}, {BAGS}, posts AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM bags) GROUP BY ALL)
         SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM posts GROUP BY term""",
     "corpus_stats": f"""WITH {CHUNKS}, {BAGS} SELECT coalesce(domain, '') AS domain, count(*) AS chunks, sum(len(tokens))::BIGINT AS tokens, round(avg(len(tokens)), 6) AS avg_tokens FROM bags GROUP BY 1""",
-    "bm25_topk": rf"""WITH {CHUNKS}, {QUESTIONS}, {BAGS},
-        wanted AS (SELECT qid AS query_id, {QUERY_TEXT} AS query FROM asks WHERE regexp_extract(qid, '(\d+)$', 1)::BIGINT % {QUERY_STEP} = 0),
+    "bm25_topk": f"""WITH {CHUNKS}, {QUESTIONS}, {BAGS},
+        wanted AS (SELECT qid AS query_id, {QUERY_TEXT} AS query FROM asks),
         terms AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({_plain_tokens("query")}) AS term FROM wanted) GROUP BY ALL),
         posts AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM bags) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
         df AS (SELECT term, count(*) AS df FROM posts GROUP BY term), stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM bags),
