@@ -118,7 +118,8 @@ DIAGNOSED = f"""{QUESTIONS}, {KINDS},
         CASE WHEN kinds.answer IS NOT NULL THEN {_letters("kinds.answer", "MAP([]::VARCHAR[], []::BOOLEAN[])")} END AS gold,
         {_letters("last.answer", "MAP([]::VARCHAR[], []::BOOLEAN[])")} AS pred
         FROM kinds LEFT JOIN last ON kinds.qid = last.qid)"""
-WANTED = rf"""wanted AS (SELECT qid AS query_id, {QUERY_TEXT} AS query, coalesce(domain, '') AS domain, coalesce(doc_ids, []) AS scope FROM asks
+WANTED = f"wanted AS (SELECT qid AS query_id, {QUERY_TEXT} AS query, coalesce(domain, '') AS domain, coalesce(doc_ids, []) AS scope FROM asks)"
+WANTED_DOCS = rf"""wanted AS (SELECT qid AS query_id, {QUERY_TEXT} AS query, coalesce(domain, '') AS domain, []::VARCHAR[] AS scope FROM asks
     WHERE regexp_extract(qid, '(\d+)$', 1)::BIGINT % {QUERY_STEP} = 0)"""
 ALIASES = r"""list_distinct(flatten([[lower(doc_id)], CASE WHEN starts_with(lower(doc_id), 'text') THEN ['fc_' || lower(doc_id)] ELSE [] END,
     CASE WHEN starts_with(lower(doc_id), 'pack2_text') THEN [substr(lower(doc_id), 7)] ELSE [] END,
@@ -194,7 +195,7 @@ SQL: dict[str, str] = {
         SELECT qid, seq, s.kind AS kind, s.option AS option, s.query AS query, s.k AS k, domain FROM flat WHERE trim(s.query) <> ''""",
     "search_chunks": f"""WITH {CHUNKS}, {QUESTIONS}, {WANTED}, {_ranked_chunks(10)}
         SELECT query_id, rank, chunk_id, doc_id, score, coalesce(array_to_string(matched, '|'), '') AS matched FROM ranked""",
-    "search_docs": f"""WITH {CHUNKS}, {QUESTIONS}, {WANTED.replace("coalesce(doc_ids, []) AS scope", "[]::VARCHAR[] AS scope")}, {_ranked_chunks(100)}, {PROFILES},
+    "search_docs": f"""WITH {CHUNKS}, {QUESTIONS}, {WANTED_DOCS}, {_ranked_chunks(100)}, {PROFILES},
         words AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(tokens) AS term FROM asked) WHERE length(term) >= 2),
         docs AS (SELECT DISTINCT doc_id FROM corpus),
         parts AS (SELECT query_id, doc_id, score AS s FROM ranked
