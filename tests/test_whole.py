@@ -14,13 +14,13 @@ def tables(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("tables"))
     rows = [(q, "x", "营业收入同比增长多少？", {"A": "20%", "B": "25%"}, "", ["d1"] if i % 2 else None, "mcq", "A") for i, q in enumerate(sorted(QIDS))]
     spark.createDataFrame(rows, QUESTION).write.parquet(f"{folder}/questions.parquet")
-    texts = ["营业收入2024年为100亿元。" + "，" * 40 + "营业收入2025年为1200000万元", "净利润2024年为10亿元，营业收入同比增长。"]
-    chunks = [(f"d{i}__0", f"d{i}", "x", "年报", ["第一章"], t, ["营业收入"], 1, 1, 0) for i, t in enumerate([*texts, *texts])]
+    text = "营业收入2024年为100亿元。" + "，" * 80 + "营业收入2025年为1200000万元"
+    chunks = [(f"d{i}__0", f"d{i}", "x", "年报", ["第一章"], f"第{i}份。{text}", ["营业收入"], 1, 1, 0) for i in range(4)]
     spark.createDataFrame(chunks, CHUNK).write.parquet(f"{folder}/chunks.parquet")
     return folder
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "search_chunks", "retrieve_full"])
+@pytest.mark.parametrize("name", ["bm25_topk", "search_chunks", "retrieve_full", "pack_evidence"])
 def test_every_question_is_asked(spark, tables, name):
     rows = registry.QUERIES[name](spark, tables)
     assert {r[0] for r in rows.select("query_id" if "query_id" in rows.columns else "qid").collect()} == QIDS
