@@ -20,7 +20,7 @@ def tables(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "search_chunks", "retrieve_full", "pack_evidence", "render_context", "solve_questions"])
+@pytest.mark.parametrize("name", ["bm25_topk", "search_chunks", "retrieve_full", "pack_evidence", "render_context", "solve_questions", "calculation_text"])
 def test_every_question_is_asked(spark, tables, name):
     rows = registry.QUERIES[name](spark, tables)
     assert {r[0] for r in rows.select("query_id" if "query_id" in rows.columns else "qid").collect()} == QIDS
